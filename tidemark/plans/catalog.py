@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import decision_queries, feature_queries, problems
+from tidemark.plans import decision_queries, feature_queries, ops_queries, problems
 
 FLAGSHIP = "p4_found"
-_MODULES = [problems, feature_queries, decision_queries]
+_MODULES = [problems, feature_queries, decision_queries, ops_queries]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
