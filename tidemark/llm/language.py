@@ -18,6 +18,7 @@ repeated rows give repeated results; an empty table gives none.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -64,11 +65,11 @@ _N = len(LETTERS)
 _BREAK = regex.compile(r"(?<=[.!?…])[\"'”’»)\]*_]*\s+|\r?\n|\r|</?\w+[^<>]{0,80}>|\|")
 _CONTINUES = regex.compile(r"^[\s>*_-]*(?:\p{Ll}|\p{N})")
 _LEAD = regex.compile(r"^[\s>*_#-]*(?:\[\d{1,2}:\d{2}\]\s*\p{Lu}:|\d{1,3}[.)](?=\s))?")
-_TOKEN = regex.compile(r"[^\s]+")
 _WORD = regex.compile(r"^[\p{P}\p{S}\p{Cf}]*\p{L}[\p{L}\p{M}\p{Cf}]*(?:['’‑.-][\p{L}\p{M}]+)*[\p{P}\p{S}\p{Cf}]*$")
 _TABLE = {i: None for i in range(0x300, 0x370)}
-_OTHER = regex.compile(r"[^a-z]+")
-_NUMBERS = bytes(c - 96 if 97 <= c <= 122 else 0 for c in range(256))
+_NUMBERS = bytes(c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else 0 for c in range(256))
+_SPACE = bytes(0 if c == 32 else c for c in range(256))
+_ZEROS = re.compile(rb"[\0 ]+")
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
@@ -95,15 +96,16 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
 
 def words(sentence: str) -> int:
     """Words of letters, unless they are fewer than half of the tokens."""
-    tokens = _TOKEN.findall(sentence)
-    n = sum(1 for t in tokens if _WORD.match(t))
+    tokens = sentence.split()
+    n = sum(1 for t in tokens if t.isalpha() or _WORD.match(t))
     return n if n * 2 >= len(tokens) else 0
 
 
 def letters(sentence: str) -> bytes:
     """Numbers of a-z, 1 and up, accents dropped; 0 for a run of anything else."""
-    plain = unicodedata.normalize("NFKD", sentence).casefold().translate(_TABLE)
-    return _OTHER.sub(" ", f" {plain} ").encode("ascii").translate(_NUMBERS)
+    if not sentence.isascii():
+        sentence = unicodedata.normalize("NFKD", sentence).casefold().translate(_TABLE)
+    return _ZEROS.sub(b"\0", b" %b " % sentence.encode("ascii", "replace").translate(_NUMBERS)).translate(_SPACE)
 
 
 def codes(sentence: str) -> np.ndarray:
