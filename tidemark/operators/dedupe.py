@@ -87,17 +87,17 @@ class SeenStore:
             return fresh.withColumns({"__code": F.row_number().over(by_shard).cast("long") - 1, "__seen": F.lit(False), "__old": F.lit(None).cast("timestamp")})
         known = known.select(F.col("key").alias("__k"), F.col("code").alias("__had"), F.col("kept").alias("__old"))
         # One small row a shard; the number of shards is a constant of the store.
-        used = self.dictionary().groupBy("shard").agg((F.max("code") + 1).alias("__used"))
+        used = self.dictionary().groupBy(F.col("shard").alias("__us")).agg((F.max("code") + 1).alias("__used"))
         coded = (
             shard.join(known, F.col(key) == F.col("__k"), "left")
-            .join(F.broadcast(used), F.col("__shard") == F.col("shard"), "left")
+            .join(F.broadcast(used), F.col("__shard") == F.col("__us"), "left")
             .withColumn("__known", F.col("__had").isNotNull())
         )
         code = F.when(F.col("__known"), F.col("__had")).otherwise(F.coalesce("__used", F.lit(0)) + F.row_number().over(by_shard) - 1)
         coded = coded.withColumn("__code", code).withColumn("__block", F.floor(F.col("__code") / BITS))
-        seen = self.bitmaps().select(F.col("shard").alias("__s"), F.col("block").alias("__b"), "bits")
+        seen = self.bitmaps().select(F.col("shard").alias("__s"), F.col("block").alias("__b"), F.col("bits").alias("__bits"))
         joined = coded.join(seen, (F.col("__shard") == F.col("__s")) & (F.col("__block") == F.col("__b")), "left")
-        return joined.withColumn("__seen", bit_is_set(F.col("bits"), F.pmod("__code", F.lit(BITS))))
+        return joined.withColumn("__seen", bit_is_set(F.col("__bits"), F.pmod("__code", F.lit(BITS))))
 
     def take(self, delivery: DataFrame, key: str, arrival: str, tie_break: Sequence[str] = ()) -> DataFrame:
         """Takes one delivery in and returns its rows to be kept: `delivery`'s columns, __copies (in this
@@ -107,7 +107,7 @@ class SeenStore:
         fresh = ~F.col("__seen")
         earlier = F.col("__seen") & (F.col(arrival).isNotNull() & (F.col("__old").isNull() | (F.col(arrival) < F.col("__old"))))
         new, path = self.version + 1, f"{self.root}/{self.version + 1}"
-        columns = [*delivery.columns, "__copies"]
+        columns = [*delivery.columns, "__copies"]  # all other columns of the plan begin with two underscores
         keyed.where(fresh | earlier).select(
             *columns, F.col("__shard").alias("__shard"), "__code", F.when(fresh, "new").otherwise("replace").alias("__change"), F.when(~fresh, F.col("__old")).alias("__replaces")
         ).write.mode("overwrite").parquet(f"{path}/kept")
