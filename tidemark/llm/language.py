@@ -56,7 +56,7 @@ class Params:
     rounds: int = 200
     rate: float = 2.0
     sharpness: float = 12.0
-    least_cosine: float = 0.04
+    least_cosine: float = 0.10
     languages: tuple[str, ...] = field(default=LANGUAGES)
 
 
