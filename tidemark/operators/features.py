@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.times import DAY, HOUR, MINUTE, floor_to
+from tidemark.session import written
 
 EMPTY = -1.0
 NULL_VALUE = "\x00null"
@@ -109,8 +110,13 @@ FEATURE_NAMES = tuple(s.name for s in FEATURE_SET)
 
 
 def compute(txn: DataFrame, specs: Sequence[FeatureSpec] = FEATURE_SET, keep: Sequence[str] = ()) -> DataFrame:
-    """(event_id, us, keep, a double for each specification). txn: event_id, us (micros), ids and fields."""
+    """(event_id, us, keep, a double for each specification). txn: event_id, us (micros), ids and fields.
+
+    The columns needed are written to the shared folder once: they are read some ten times, and what made
+    them (deduplication, say) would otherwise run as often."""
     validate(specs)
+    needed = dict.fromkeys(["event_id", "us", *[f"{s.entity}_id" for s in specs], *[s.field for s in specs if s.field], *keep])
+    txn = written(txn.select(*needed), "events")
     return assemble(txn, _results(txn, specs), specs, keep)
 
 
@@ -126,99 +132,115 @@ def narrow(txn: DataFrame, specs: Sequence[FeatureSpec]) -> DataFrame:
 
 
 def assemble(txn: DataFrame, results: DataFrame, specs: Sequence[FeatureSpec], keep: Sequence[str]) -> DataFrame:
-    usable = F.col("event_id").isNotNull() & F.col("us").isNotNull()
-    base = txn.where(usable).select("event_id", "us", *keep)
-    blank = [F.lit(None).cast("double").alias(s.name) for s in specs]
-    nothing = [F.lit(None).cast(dict(base.dtypes)[c]).alias(c) for c in keep]
-    both = base.select("event_id", "us", *keep, *blank).unionByName(results.select("event_id", F.lit(None).cast("long").alias("us"), *nothing, *[s.name for s in specs]))
-    extreme = lambda s: F.min(s.name) if s.aggregation == "min" else F.max(s.name)
-    return both.groupBy("event_id").agg(F.max("us").alias("us"), *[F.max(c).alias(c) for c in keep], *[F.coalesce(extreme(s), F.lit(EMPTY)).alias(s.name) for s in specs])
+    """One row per event from its own row and its results' rows, one per window group."""
+    base = txn.where(_usable()).select("event_id", "us", *keep)
+    kinds = dict(base.dtypes)
+    blank = {c: F.lit(None).cast(k).alias(c) for c, k in kinds.items()}
+    numbers = [F.lit(None).cast(k).alias(c) for c, k in _RESULT]
+    both = base.select("event_id", "us", *keep, *numbers).unionByName(results.select("event_id", blank["us"], *[blank[c] for c in keep], *[c for c, _ in _RESULT]))
+    groups, slots = _groups([s for s in specs if s.aggregation not in ("max", "min")])
+    out = []
+    for i, s in enumerate(specs):
+        if s.aggregation in ("max", "min"):
+            of = F.when(F.col("g") == _EXTREME + i, F.col("v"))
+            out.append(F.min(of) if s.aggregation == "min" else F.max(of))
+            continue
+        c, t, n, d, seen = (F.col(x) for x in ("c", "s", "n", "d", "seen"))
+        value = {
+            "count": F.when(c > 0, c.cast("double")), "sum": F.when(n > 0, t.cast("double")), "mean": F.when(n > 0, t.cast("double") / n),
+            "distinct_count": F.when(d > 0, d.cast("double")), "seconds_since_last": F.when(F.lit(True) if s.window is None else seen >= s.start(F.col("key")), (F.col("key") - seen) / 1e6),
+        }[s.aggregation]
+        out.append(F.max(F.when(F.col("g") == slots[s.name], value)))
+    return both.groupBy("event_id").agg(F.max("us").alias("us"), *[F.max(c).alias(c) for c in keep], *[F.coalesce(v, F.lit(EMPTY)).alias(s.name) for v, s in zip(out, specs, strict=True)])
+
+
+#: A result's row: its window group, the sums, the last event seen, the event's time, and an extreme's value.
+_RESULT = (("g", "int"), ("c", "bigint"), ("s", "bigint"), ("n", "bigint"), ("d", "bigint"), ("seen", "bigint"), ("key", "bigint"), ("v", "double"))
+_EXTREME = 1000
+
+
+def _usable() -> Column:
+    return F.col("event_id").isNotNull() & F.col("us").isNotNull()
+
+
+@dataclass
+class _Group:
+    """What runs in one pass: an entity's windows of one length, with at most one summed and one distinct field."""
+
+    spec: FeatureSpec
+    counts: bool = False
+    summed: str | None = None
+    distinct: str | None = None
+
+
+def _groups(specs: Sequence[FeatureSpec]) -> tuple[list[_Group], dict[str, int]]:
+    groups: list[_Group] = []
+    slots: dict[str, int] = {}
+    for s in specs:
+        own = [(i, g) for i, g in enumerate(groups) if (g.spec.entity, g.spec.lane) == (s.entity, s.lane)]
+        slot = {"sum": "summed", "mean": "summed", "distinct_count": "distinct"}.get(s.aggregation)
+        found = next(((i, g) for i, g in own if slot is None or getattr(g, slot) in (None, s.field)), None)
+        if found is None:
+            found = (len(groups), _Group(s))
+            groups.append(found[1])
+        i, g = found
+        g.counts = g.counts or s.aggregation == "count"
+        if slot:
+            setattr(g, slot, s.field)
+        slots[s.name] = i
+    return groups, slots
 
 
 def _results(txn: DataFrame, specs: Sequence[FeatureSpec]) -> DataFrame:
-    usable = F.col("event_id").isNotNull() & F.col("us").isNotNull()
-    fields = sorted({s.field for s in specs if s.field} | {f"{s.entity}_id" for s in specs})
-    txn = txn.where(usable).select("event_id", "us", *fields)
-    additive = [s for s in specs if s.aggregation in ("count", "sum", "mean", "distinct_count", "seconds_since_last")]
-    parts = []
-    if additive:
-        parts.append(_additive(txn, additive, specs))
-    parts += [_extreme(txn, s, specs) for s in specs if s.aggregation in ("max", "min")]
+    txn = txn.where(_usable())
+    additive = [s for s in specs if s.aggregation not in ("max", "min")]
+    parts = [_additive(txn, additive)] if additive else []
+    parts += [_extreme(txn, s, _EXTREME + i) for i, s in enumerate(specs) if s.aggregation in ("max", "min")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _row_of(values: dict[str, Column], specs: Sequence[FeatureSpec]) -> list[Column]:
-    return [values.get(s.name, F.lit(None).cast("double")).alias(s.name) for s in specs]
-
-
-def _additive(txn: DataFrame, specs: Sequence[FeatureSpec], every: Sequence[FeatureSpec]) -> DataFrame:
-    kinds = list(dict.fromkeys(s.entity for s in specs))
-    counts = list(dict.fromkeys(s.lane for s in specs if s.aggregation == "count"))
-    sums = list(dict.fromkeys((s.lane, s.field) for s in specs if s.aggregation in ("sum", "mean")))
-    distinct = list(dict.fromkeys((s.lane, s.field) for s in specs if s.aggregation == "distinct_count"))
-    changes = [f"c_{x}" for x in counts] + [f"{p}_{lane}_{f}" for lane, f in sums for p in "sn"] + [f"d_{lane}_{f}" for lane, f in distinct]
+def _additive(txn: DataFrame, specs: Sequence[FeatureSpec]) -> DataFrame:
+    groups, _ = _groups(specs)
     zero = F.lit(0).cast("long")
 
-    def change(kind: str, key: Column, query: bool, filled: dict[str, Column]) -> Column:
+    def change(i: int, g: _Group, key: Column, sign: int) -> Column:
+        v = F.col(g.summed).cast("long") if g.summed else None
         return F.struct(
-            F.lit(kind).alias("kind"), F.col(f"{kind}_id").alias("id"), key.alias("key"), F.lit(query).alias("query"),
-            (F.col("event_id") if query else F.lit(None).cast("string")).alias("event_id"), *[filled.get(c, zero).alias(c) for c in changes],
+            F.lit(i).alias("g"), F.col(f"{g.spec.entity}_id").alias("id"), key.alias("key"), (F.col("event_id") if sign > 0 else F.lit(None).cast("string")).alias("event_id"),
+            F.lit(sign if g.counts else 0).cast("long").alias("c"), (F.coalesce(v, zero) * sign if g.summed else zero).alias("s"),
+            (v.isNotNull().cast("long") * sign if g.summed else zero).alias("n"), zero.alias("d"),
         )
 
-    def filled(kind: str, lane: str | None, sign: int) -> dict[str, Column]:
-        out = {}
-        for s in specs:
-            if s.entity == kind and (lane is None or s.lane == lane):
-                if s.aggregation == "count":
-                    out[f"c_{s.lane}"] = F.lit(sign).cast("long")
-                elif s.aggregation in ("sum", "mean"):
-                    v = F.col(s.field).cast("long")
-                    out[f"s_{s.lane}_{s.field}"] = F.coalesce(v, zero) * sign
-                    out[f"n_{s.lane}_{s.field}"] = v.isNotNull().cast("long") * sign
-        return out
-
     rows = []
-    for kind in kinds:
-        rows.append(change(kind, F.col("us"), True, filled(kind, None, 1)))
-        lanes = {s.lane: s for s in specs if s.entity == kind and s.window is not None and s.aggregation in ("count", "sum", "mean")}
-        rows += [change(kind, s.expiry(F.col("us")), False, filled(kind, lane, -1)) for lane, s in lanes.items()]
+    for i, g in enumerate(groups):
+        rows.append(change(i, g, F.col("us"), 1))
+        if g.spec.window is not None and (g.counts or g.summed):
+            rows.append(change(i, g, g.spec.expiry(F.col("us")), -1))
     deltas = txn.select(F.inline(F.array(*rows))).where(F.col("id").isNotNull())
-    for s in {(s.entity, s.lane, s.field): s for s in specs if s.aggregation == "distinct_count"}.values():
-        deltas = deltas.unionByName(_distinct_changes(txn, s, changes))
-    deltas = deltas.withColumn("block", F.floor(F.col("key") / BLOCK))
-    last = F.max(F.when(F.col("query"), F.col("key")))
-    inside = W.partitionBy("kind", "id", "block").orderBy("key").rangeBetween(W.unboundedPreceding, -1)
-    before = W.partitionBy("kind", "id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    totals = deltas.groupBy("kind", "id", "block").agg(*[F.sum(c).alias(c) for c in changes], last.alias("last"), F.bool_or("query").alias("asked"))
-    offsets = totals.select("kind", "id", "block", "asked", *[F.coalesce(F.sum(c).over(before), zero).alias(f"before_{c}") for c in changes], F.max("last").over(before).alias("before_last")).where("asked")
-    running = deltas.withColumns({f"in_{c}": F.coalesce(F.sum(c).over(inside), zero) for c in changes} | {"in_last": last.over(inside)}).where("query")
-    found = running.join(offsets, ["kind", "id", "block"])
-    total = {c: F.col(f"in_{c}") + F.col(f"before_{c}") for c in changes}
-    latest = F.greatest("in_last", "before_last")
-    values = {}
-    for s in specs:
-        own = F.col("kind") == s.entity
-        if s.aggregation == "count":
-            v = total[f"c_{s.lane}"]
-            values[s.name] = F.when(own & (v > 0), v.cast("double"))
-        elif s.aggregation in ("sum", "mean"):
-            v, n = total[f"s_{s.lane}_{s.field}"].cast("double"), total[f"n_{s.lane}_{s.field}"]
-            values[s.name] = F.when(own & (n > 0), v if s.aggregation == "sum" else v / n)
-        elif s.aggregation == "distinct_count":
-            v = total[f"d_{s.lane}_{s.field}"]
-            values[s.name] = F.when(own & (v > 0), v.cast("double"))
-        else:
-            seen = latest.isNotNull() if s.window is None else latest >= s.start(F.col("key"))
-            values[s.name] = F.when(own & seen, (F.col("key") - latest) / 1e6)
-    return found.select("event_id", *_row_of(values, every))
-
-
-def _distinct_changes(txn: DataFrame, s: FeatureSpec, changes: Sequence[str]) -> DataFrame:
+    for i, g in enumerate(groups):
+        if g.distinct:
+            deltas = deltas.unionByName(_distinct_changes(txn, g, i))
+    # Both uses below read this one exchange: the running sums, and the totals of the blocks.
+    keys = ["g", "id", "block"]
+    deltas = deltas.withColumn("block", F.expr(f"key div {BLOCK}")).where(F.col("block").isNotNull()).repartition(*keys)
+    sums = ["c", "s", "n", "d"]
+    asked = F.col("event_id").isNotNull()
+    inside = W.partitionBy(*keys).orderBy("key").rangeBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("g", "id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    totals = deltas.groupBy(*keys).agg(*[F.sum(c).alias(f"t_{c}") for c in sums], F.max(F.when(asked, F.col("key"))).alias("t_seen"))
+    offsets = totals.select(*keys, "t_seen", *[F.coalesce(F.sum(f"t_{c}").over(before), zero).alias(f"b_{c}") for c in sums], F.max("t_seen").over(before).alias("b_seen")).where("t_seen IS NOT NULL").drop("t_seen")
+    running = deltas.withColumns({f"i_{c}": F.coalesce(F.sum(c).over(inside), zero) for c in sums} | {"i_seen": F.max(F.when(asked, F.col("key"))).over(inside)}).where(asked)
+    found = running.join(offsets, keys)
+    return found.select("event_id", "g", *[(F.col(f"i_{c}") + F.col(f"b_{c}")).alias(c) for c in sums], F.greatest("i_seen", "b_seen").alias("seen"), "key", F.lit(None).cast("double").alias("v"))
+
+
+def _distinct_changes(txn: DataFrame, g: _Group, number: int) -> DataFrame:
     """Plus one where a value comes into view for an entity, minus one where it leaves."""
-    value = F.coalesce(F.col(s.field).cast("string"), F.lit(NULL_VALUE))
+    s = g.spec
+    value = F.coalesce(F.col(g.distinct).cast("string"), F.lit(NULL_VALUE))
     bucket = s.resolution or s.window
     spans = (
         txn.select(F.col(f"{s.entity}_id").alias("id"), value.alias("v"), "us", (F.floor(F.col("us") / bucket) if bucket else F.lit(0)).alias("b"))
@@ -232,16 +254,14 @@ def _distinct_changes(txn: DataFrame, s: FeatureSpec, changes: Sequence[str]) ->
     comes = F.when(F.col("prev").isNull() | (F.col("prev") < F.col("first")), F.struct(F.col("first").alias("key"), F.lit(1).cast("long").alias("d")))
     goes = F.when(F.col("until").isNotNull() & (F.col("next").isNull() | (F.col("next") > F.col("until"))), F.struct(F.col("until").alias("key"), F.lit(-1).cast("long").alias("d")))
     rows = joined.select("id", F.inline(F.array_compact(F.array(comes, goes))))
-    name = f"d_{s.lane}_{s.field}"
-    return rows.select(
-        F.lit(s.entity).alias("kind"), "id", "key", F.lit(False).alias("query"), F.lit(None).cast("string").alias("event_id"),
-        *[(F.col("d") if c == name else F.lit(0).cast("long")).alias(c) for c in changes],
-    )
+    zero = F.lit(0).cast("long")
+    return rows.select(F.lit(number).alias("g"), "id", "key", F.lit(None).cast("string").alias("event_id"), zero.alias("c"), zero.alias("s"), zero.alias("n"), "d")
 
 
-def _extreme(txn: DataFrame, s: FeatureSpec, every: Sequence[FeatureSpec]) -> DataFrame:
+def _extreme(txn: DataFrame, s: FeatureSpec, number: int) -> DataFrame:
     best = F.max if s.aggregation == "max" else F.min
     rows = txn.select("event_id", "us", F.col(f"{s.entity}_id").alias("id"), F.col(s.field).cast("double").alias("v")).where(F.col("id").isNotNull())
+    blank = [(F.lit(number) if c == "g" else F.lit(None)).cast(k).alias(c) for c, k in _RESULT if c != "v"]
     if s.window is None or s.resolution is not None:
         # In-bucket running value, and the totals of the buckets before.
         step = s.resolution or BLOCK
@@ -251,8 +271,7 @@ def _extreme(txn: DataFrame, s: FeatureSpec, every: Sequence[FeatureSpec]) -> Da
         prior = prior.withColumn("t", best("t").over(W.partitionBy("id").orderBy("b").rangeBetween(reach, -1)))
         inside = W.partitionBy("id", "b").orderBy("us").rangeBetween(W.unboundedPreceding, -1)
         found = rows.withColumn("i", best("v").over(inside)).join(prior, ["id", "b"])
-        both = F.greatest("i", "t") if s.aggregation == "max" else F.least("i", "t")
-        return found.select("event_id", *_row_of({s.name: both}, every))
+        return found.select("event_id", *blank, (F.greatest("i", "t") if s.aggregation == "max" else F.least("i", "t")).alias("v"))
     # The window of t is the end of one window-long block, from t - window on, and the start of the next.
     probes = rows.select("event_id", (F.col("us") - s.window).alias("key"), "id", F.lit(None).cast("double").alias("v"), F.lit(True).alias("probe"))
     data = rows.select("event_id", F.col("us").alias("key"), "id", "v", F.lit(False).alias("probe"))
@@ -260,7 +279,7 @@ def _extreme(txn: DataFrame, s: FeatureSpec, every: Sequence[FeatureSpec]) -> Da
     ends = best("v").over(w.rangeBetween(0, W.unboundedFollowing))
     starts = best("v").over(w.rangeBetween(W.unboundedPreceding, -1))
     found = data.unionByName(probes).withColumns({"ends": ends, "starts": starts})
-    return found.select("event_id", *_row_of({s.name: F.when(F.col("probe"), F.col("ends")).otherwise(F.col("starts"))}, every))
+    return found.select("event_id", *blank, F.when(F.col("probe"), F.col("ends")).otherwise(F.col("starts")).alias("v"))
 
 
 def range_join_features(txn: DataFrame, specs: Sequence[FeatureSpec]) -> DataFrame:
