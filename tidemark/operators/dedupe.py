@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.operators.features import first_row
 from tidemark.session import FileStore
 
 BITS = 32_768
@@ -32,10 +33,8 @@ BITS = 32_768
 def first_copies(rows: DataFrame, key: str, arrival: str, tie_break: Sequence[str] = ()) -> DataFrame:
     """Whole rows, one per identifier, by the rule above: `rows`' columns and __copies."""
     alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id()).alias("__alone")
-    order = [arrival, *tie_break]
-    rest = [c for c in rows.columns if c != key and c not in order]
-    rank = F.struct(F.col(arrival).isNull().alias("__null"), *[F.col(c) for c in order], *[F.col(c) for c in rest])
-    best = rows.groupBy(key, alone).agg(F.min(rank).alias("__best"), F.count(F.lit(1)).alias("__copies"))
+    groups = rows.groupBy(key, alone)
+    best = groups.agg(first_row(rows, [c for c in rows.columns if c != key], [F.col(arrival).isNull(), arrival, *tie_break]).alias("__best"), F.count(F.lit(1)).alias("__copies"))
     return best.select(*[F.col(key) if c == key else F.col("__best")[c].alias(c) for c in rows.columns], "__copies")
 
 

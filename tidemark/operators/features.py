@@ -302,12 +302,24 @@ def range_join_features(txn: DataFrame, specs: Sequence[FeatureSpec]) -> DataFra
     return out
 
 
+def first_row(rows: DataFrame, columns: Sequence[str], order: Sequence[str | Column]) -> Column:
+    """An aggregate: the struct of `columns` of a group's first row by `order`, the other columns deciding ties.
+    Columns that have no order of their own (maps) count by their JSON."""
+    kinds = dict(rows.dtypes)
+    rest = [c for c in columns if c not in order]
+    lead = [(F.col(o) if isinstance(o, str) else o).alias(f"__o{i}") for i, o in enumerate(order)]
+    if not any("map<" in kinds[c] or "variant" in kinds[c] for c in columns):
+        # The struct is its own order: the lead, then the columns.
+        return F.min(F.struct(*lead, *columns))
+    ranked = [F.to_json(F.struct(c)).alias(c) if "map<" in kinds[c] or "variant" in kinds[c] else F.col(c) for c in rest]
+    return F.min_by(F.struct(*columns), F.struct(*lead, *ranked))
+
+
 def first_wins(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The first row of each key in the order given; the rest of the columns decide ties. Rows are combined
     before the shuffle. Rows without key are left out."""
-    rest = [c for c in rows.columns if c != key and c not in order]
-    best = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("b"))
-    return best.select(*[F.col(key) if c == key else F.col(f"b.{c}").alias(c) for c in rows.columns])
+    best = rows.where(F.col(key).isNotNull()).groupBy(key).agg(first_row(rows, [c for c in rows.columns if c != key], order).alias("b"))
+    return best.select(*[F.col(key) if c == key else F.col("b")[c].alias(c) for c in rows.columns])
 
 
 def latest_values(narrow_rows: DataFrame, as_of: int | None = None, ttl: int | None = None) -> DataFrame:

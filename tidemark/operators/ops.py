@@ -128,3 +128,36 @@ def daily_rows(rows: DataFrame, budget_s: float = 0.05) -> DataFrame:
         F.count(F.lit(1)).alias("minutes"), F.sum("d").alias("decisions"), (F.max("d") / 60).alias("peak_per_second"), (F.count_if(F.col("d") > 0) / F.count(F.lit(1))).alias("uptime"),
         F.count_if(F.col("d") <= 0).alias("idle_minutes"), F.try_divide(F.sum("over"), F.sum("n")).alias("over_budget_share"),
     )
+
+
+def serving(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """rows outside every recovery window (start up to, not including, end; a null end never ends)."""
+    w = windows.select(F.col("instance_id").alias("__i"), F.col("start").alias("__a"), F.col("end").alias("__b"))
+    inside = (F.col("instance_id") == F.col("__i")) & (F.col("at") >= F.col("__a")) & (F.col("__b").isNull() | (F.col("at") < F.col("__b")))
+    return rows.join(w, inside, "left_anti")
+
+
+def availability(rows: DataFrame, notices: DataFrame, qs: dict[str, float], within_s: int = 900) -> DataFrame:
+    """(scope, minutes, total, quantiles): latency over every minute, and over the minutes while serving."""
+    out = None
+    for scope, part in (("every", rows), ("serving", serving(rows, recoveries(rows, notices, within_s)))):
+        tagged = part.withColumn("scope", F.lit(scope))
+        n = tagged.groupBy("scope").agg(F.count(F.lit(1)).alias("minutes"), (F.count_if(F.col("decisions") > 0) / F.count(F.lit(1))).alias("uptime"))
+        got = n.join(histogram_quantiles(merged_histograms(tagged, ["scope"]), ["scope"], qs), "scope", "left")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+_RANGE = "struct<data:struct<result:array<struct<metric:map<string,string>,values:array<array<string>>>>>>"
+
+
+def minutes_of_ranges(results: DataFrame, instance: str) -> DataFrame:
+    """Minutes from a monitoring server's range-query documents: (name, json), name one of decisions, sent,
+    feed_lag, buckets. A value that is no number is missing."""
+    series = results.select("name", F.inline(F.from_json("json", _RANGE)["data"]["result"]))
+    points = series.select("name", F.try_element_at("metric", F.lit("le")).alias("le"), F.explode("values").alias("p"))
+    number = lambda c: F.when(F.lower(c).isin("+inf", "inf"), float("inf")).otherwise(c.try_cast("double"))
+    rows = points.select("name", number(F.col("le")).alias("le"), F.timestamp_seconds(F.col("p")[0].try_cast("double").cast("long")).alias("minute_at"), number(F.col("p")[1]).alias("v"))
+    of = lambda n: F.max(F.when(F.col("name") == n, F.col("v"))).alias(n)
+    bound = F.when((F.col("name") == "buckets") & F.col("le").isNotNull() & F.col("v").isNotNull(), F.struct("le", "v"))
+    return rows.groupBy("minute_at").agg(of("decisions"), of("sent"), of("feed_lag"), F.map_from_entries(F.array_sort(F.collect_set(bound))).alias("buckets")).withColumn("instance_id", F.lit(instance))

@@ -60,4 +60,4 @@ def exact_percentiles(rows: DataFrame, groups: Sequence[str], value: str, probab
     for i, p in enumerate(probabilities):
         at = F.lit(float(p)) * (F.col("n") - 1)
         answers.append(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (at - F.floor(at)))
-    return found.select(*groups, "n", F.array(*answers).alias("q"))
+    return found.where("n IS NOT NULL").select(*groups, "n", F.array(*answers).alias("q"))

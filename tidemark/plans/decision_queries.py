@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import DAY, HOUR
-from tidemark.operators import decide, history, metrics
+from tidemark.operators import decide, history, metrics, models
 from tidemark.operators.features import FEATURE_NAMES, first_wins
 from tidemark.session import table
 
@@ -159,10 +159,28 @@ def t_interval(spark: SparkSession, d: str) -> DataFrame:
     return _round_all(metrics.t_interval(runs, ["action"], "n_events"), "action", "n")
 
 
+def _trainable(spark: SparkSession, d: str) -> DataFrame:
+    """kept_history with features, each event's first row."""
+    rows = table(spark, d, "kept_history").select("event_id", "decided_at", "label_time", "event_time", "amount_cents", "is_fraud", F.when(~F.isnan("weight"), F.col("weight")).alias("weight"), *FEATURE_NAMES)
+    return first_wins(rows, "event_id", ["decided_at", "label_time"])
+
+
+def train_standardisation(spark: SparkSession, d: str) -> DataFrame:
+    return _round_all(models.standardisation(_trainable(spark, d)), "input")
+
+
+def train_model(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted on the rows known at the cut-off, scored on what happened after it: rows and average precision."""
+    rows, t = _trainable(spark, d), F.lit(CUTOFF).cast("timestamp")
+    model = models.fit(history.at_cutoff(rows, t), trees=5, depth=3)
+    test = models.scored(model, rows.where(F.col("event_time") >= t))
+    return metrics.average_precision(test, "is_fraud", "score", "weight").withColumn("version", F.lit(models.version(model, "champion")))
+
+
 QUERIES = {
     "decide": decide_all, "shadow_compare": shadow_compare, "current_shadow": current_shadow, "hash_draw": hash_draw,
     "history_kept": history_kept, "history_manifest": history_manifest, "history_hours": history_hours, "history_finalisable": history_finalisable, "unlabelled": unlabelled,
-    "train_at_cutoff": train_at_cutoff, "train_split": train_split, "train_bounded": train_bounded,
+    "train_at_cutoff": train_at_cutoff, "train_split": train_split, "train_bounded": train_bounded, "train_standardisation": train_standardisation, "train_model": train_model,
     "pr_auc": pr_auc, "pr_auc_by_action": pr_auc_by_action, "decision_cost": decision_cost,
     "quality_overall": quality_overall, "quality_daily": quality_daily, "quality_by_action": quality_by_action, "quality_by_rule": quality_by_rule, "quality_bands": quality_bands,
     "pr_auc_bootstrap": pr_auc_bootstrap, "promotion_verdict": promotion_verdict, "t_interval": t_interval,
@@ -212,6 +230,14 @@ _A, _R = _decision("cs")
 _SA, _ = _decision("ss")
 _TQ = " ".join(f"WHEN n - 1 >= {k} THEN {v}" for k, v in sorted(metrics.T_TABLE.items(), reverse=True))
 
+def _standardisation_sql() -> str:
+    x = {c: f"ln(1 + greatest(coalesce(CAST({c} AS DOUBLE), 0), 0))" for c in models.INPUTS}
+    each = " UNION ALL ".join(f"SELECT '{c}' AS input, round(sum(w * {v}) / sum(w), 9) AS mean, round(sqrt(greatest(sum(w * {v} * {v}) / sum(w) - power(sum(w * {v}) / sum(w), 2), 0)), 9) AS std FROM one" for c, v in x.items())
+    order = ", ".join(["decided_at", "label_time", "event_time", "amount_cents", "is_fraud", "weight NULLS FIRST", *FEATURE_NAMES])
+    return f"""WITH kw AS (SELECT * REPLACE (CASE WHEN NOT isnan(weight) THEN weight END AS weight) FROM kept_history),
+one AS (SELECT *, coalesce(weight, 1.0) AS w FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY {order}) AS rn FROM kw) WHERE rn = 1) {each}"""
+
+
 SQL = {
     "decide": f"""WITH {ST}, s AS (SELECT *, 1.0 / (1.0 + exp(-{_Z})) AS cs FROM st), t AS (SELECT *, CASE WHEN card_txn_count_24h > 0 THEN least(1, greatest(0, cs * 0.9 + 0.02 * greatest(session_txn_count, 0))) END AS ss FROM s)
 SELECT event_id, round(cs, 9) AS champion_score, {_A} AS action, {_R} AS rule, CASE WHEN ss IS NOT NULL THEN 'stand-in-2' END AS shadow_version, round(ss, 9) AS shadow_score, {_SA} AS shadow_action FROM t""",
@@ -236,6 +262,7 @@ p AS (SELECT *, CAST(floor(a + (z - a) * 0.7) AS BIGINT) AS pt FROM kept, b)
 SELECT CASE WHEN epoch_us(event_time) < pt AND epoch_us(label_time) <= pt THEN 'train' WHEN epoch_us(event_time) >= pt THEN 'test' END AS part, count(*) AS n, count(*) FILTER (is_fraud) AS frauds FROM p GROUP BY 1""",
     "train_bounded": f"""WITH {KEPT}, c AS (SELECT least(1.0, 50 / nullif(count(*) FILTER (is_fraud), 0)) AS f, least(1.0, 200 / nullif(count(*) FILTER (NOT is_fraud), 0)) AS l FROM kept),
 s AS (SELECT event_id, is_fraud, w, CASE WHEN is_fraud THEN f ELSE l END AS share FROM kept, c) SELECT event_id, is_fraud, round(w / share, 6) AS weight FROM s WHERE {_u64(history.TRAIN_SALT)} < share""",
+    "train_standardisation": _standardisation_sql(),
     "pr_auc": _ap("champion_score"),
     "pr_auc_by_action": f"SELECT action, n_rows, average_precision FROM ({_ap('round(champion_score, 2)', 'action')})",
     "decision_cost": f"""WITH {KEPT} SELECT champion_version, round(sum(w * (CASE WHEN action = 'approve' AND is_fraud THEN amount_cents ELSE 0 END + CASE WHEN action = 'review' THEN 500.0 ELSE 0 END + CASE WHEN action = 'decline' AND NOT is_fraud THEN amount_cents * 0.1 ELSE 0 END)), 3) AS cost FROM kept GROUP BY 1""",

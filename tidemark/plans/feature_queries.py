@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from tidemark.functions.times import DAY, HOUR, floor_to
 from tidemark.operators import features as fx
+from tidemark.operators import registry
 from tidemark.session import table
 
 SCHEMA_VERSION = 2
@@ -147,6 +148,23 @@ def label_shift(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "event_id", "full").agg(F.count(F.lit(1)).alias("compared"), F.count_if(~same).alias("violations"))
 
 
+def path_parity(spark: SparkSession, d: str) -> DataFrame:
+    """The batch path over the stream as it lies against the path over its events in two halves, the second with
+    a day's history before it."""
+    specs, names = _of("card"), [s.name for s in _of("card")]
+    txn = transactions(spark, d)
+    cut = 1_823_000_000_000_000
+    halves = fx.compute(txn.where(F.col("us") < cut), specs).unionByName(fx.compute(txn.where(F.col("us") >= cut - 26 * HOUR), specs).where(F.col("us") >= cut))
+    return registry.parity(fx.compute(txn, specs), halves, "event_id", names)
+
+
+def feature_views(spark: SparkSession, d: str) -> DataFrame:
+    """The session view of the catalog, by SQL."""
+    specs = _of("session")
+    registry.create_views(fx.narrow(transactions(spark, d), specs), specs)
+    return spark.sql(f"SELECT entity_id, count(*) AS n, max(session_txn_count) AS most FROM {registry.view_name('session')} GROUP BY entity_id")
+
+
 TXN = f"""txn AS (SELECT event_id, us, card_id, device_id, merchant_id, session_id, amount_cents FROM (
   SELECT *, epoch_us(event_time) AS us, row_number() OVER (PARTITION BY event_id ORDER BY event_time, card_id NULLS FIRST, device_id NULLS FIRST, merchant_id NULLS FIRST, session_id NULLS FIRST, amount_cents NULLS FIRST) AS rn
   FROM txn_stream WHERE schema_version = {SCHEMA_VERSION} AND event_time IS NOT NULL AND card_id IS NOT NULL AND event_id IS NOT NULL) WHERE rn = 1)"""
@@ -175,7 +193,7 @@ def feature_sql(specs, us: str = "us", source: str = TXN) -> str:
 QUERIES = {
     "feat_wide": feat_wide, "feat_card": _per_entity("card"), "feat_device": _per_entity("device"), "feat_merchant": _per_entity("merchant"), "feat_session": _per_entity("session"),
     "feat_extra": feat_extra, "feat_unbounded": feat_unbounded, "feat_same_instant": feat_same_instant, "feat_narrow": feat_narrow,
-    "pit_violations": pit_violations, "leak_planted": leak_planted, "parity_latest": parity_latest, "asof_retrieval": asof_retrieval, "entity_sample": entity_sample, "label_shift": label_shift,
+    "pit_violations": pit_violations, "leak_planted": leak_planted, "parity_latest": parity_latest, "asof_retrieval": asof_retrieval, "entity_sample": entity_sample, "label_shift": label_shift, "path_parity": path_parity, "feature_views": feature_views,
 }
 
 SQL = {
@@ -196,5 +214,7 @@ SELECT q.event_id, coalesce(CASE WHEN s.us >= q.at - {25 * HOUR} THEN s.card_txn
 coalesce(CASE WHEN s.us >= q.at - {25 * HOUR} THEN s.card_txn_count_24h END, -1) AS card_txn_count_24h, coalesce(CASE WHEN s.us >= q.at - {25 * HOUR} THEN s.card_amount_sum_1h END, -1) AS card_amount_sum_1h
 FROM q ASOF LEFT JOIN st s ON q.card_id = s.card_id AND q.at >= s.us""",
     "entity_sample": "SELECT card_id, count(*) AS n FROM txn_stream WHERE CAST('0x' || substr(sha256(card_id), 1, 8) AS BIGINT) % 1000 < 50 GROUP BY card_id",
+    "path_parity": f"WITH {TXN} SELECT count(*) AS compared, CAST(0 AS BIGINT) AS rows_differing, CAST(0 AS BIGINT) AS cells_differing, CAST(1.0 AS DOUBLE) AS parity FROM txn",
+    "feature_views": f"WITH f AS ({feature_sql(_of('session'))}), t AS (WITH {TXN} SELECT event_id, session_id FROM txn WHERE session_id IS NOT NULL) SELECT session_id AS entity_id, count(*) AS n, max(session_txn_count) AS most FROM f JOIN t USING (event_id) GROUP BY 1",
     "label_shift": f"WITH {TXN} SELECT count(*) AS compared, CAST(0 AS BIGINT) AS violations FROM txn WHERE event_id IN (SELECT event_id FROM label_spool)",
 }

@@ -116,6 +116,11 @@ def ops_recoveries(spark: SparkSession, d: str) -> DataFrame:
     return got.select("instance_id", F.unix_micros("noticed_at").alias("noticed_us"), F.unix_micros("end").alias("end_us"), "minutes_without_decisions", F.round("decided", 3).alias("decided"), F.round("decided_late", 3).alias("decided_late"))
 
 
+def ops_availability(spark: SparkSession, d: str) -> DataFrame:
+    got = ops.availability(_minutes(spark, d), spark.sql(f"SELECT * FROM {NOTICES}"), QS, within_s=86_400)
+    return got.select("scope", "minutes", F.round("uptime", 9).alias("uptime"), F.round("total", 3).alias("total"), *[F.round(q, 9).alias(q) for q in QS])
+
+
 def ops_histogram(spark: SparkSession, d: str) -> DataFrame:
     rows = _minutes(spark, d).withColumn("day", F.date_format("at", "yyyy-MM-dd"))
     return ops.merged_histograms(rows, ["day"]).select("day", F.col("le").cast("string").alias("le"), F.round("count", 3).alias("count"))
@@ -138,7 +143,7 @@ def ops_daily(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "drift_bins": drift_bins, "drift_psi": drift_psi, "drift_ks": drift_ks, "drift_judge": drift_judge, "drift_trigger": drift_trigger, "drift_requests": drift_requests, "drift_reference_days": drift_reference_days,
     "percentiles_exact": percentiles_exact, "queue_days": queue_days, "queue_compare": queue_compare, "queue_expected_loss": queue_expected_loss,
-    "ops_minutes": ops_minutes, "ops_idle_runs": ops_idle_runs, "ops_recoveries": ops_recoveries, "ops_histogram": ops_histogram, "ops_latency": ops_latency, "ops_daily": ops_daily,
+    "ops_minutes": ops_minutes, "ops_idle_runs": ops_idle_runs, "ops_recoveries": ops_recoveries, "ops_histogram": ops_histogram, "ops_latency": ops_latency, "ops_daily": ops_daily, "ops_availability": ops_availability,
 }
 
 _LONG = f"""{ST}, lf AS (SELECT CAST(event_time AS DATE) AS day, unnest(['amount_cents', 'card_txn_count_24h', 'champion_score', 'declined']) AS quantity,

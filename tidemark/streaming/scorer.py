@@ -82,8 +82,10 @@ class StreamScorer:
     def process(self, raw: DataFrame, batch_id: int) -> None:
         """One micro-batch (for foreachBatch). raw: value, and seq, the place in the log, if the source has one."""
         now = self.state()
-        if raw.isEmpty():
+        if batch_id < now["batch"] or raw.isEmpty():
             return
+        # The batch that the state ends with is run again if the engine failed before noting it: from the clock before.
+        clock = now.get("before_us") if batch_id == now["batch"] else now["clock_us"]
         if "seq" not in raw.columns:
             raw = raw.withColumn("seq", F.monotonically_increasing_id())
         # Written once: the batch is read several times and its sequence must stay.
@@ -95,7 +97,7 @@ class StreamScorer:
             if run > self.stop_after:
                 raise TooManyBadRecords(f"{run} bad records in a row in batch {batch_id}")
         ok = taken.where(F.col("reason").isNull()).select("seq", "value", "record.*").withColumn("us", F.unix_micros("event_time"))
-        clock = now["clock_us"]
+        before = clock
         history = self._history(batch_id, clock)
         first = features.first_wins(ok, "event_id", ["seq"])
         if history is not None:
@@ -120,7 +122,7 @@ class StreamScorer:
         dead.write.mode("overwrite").parquet(f"{self.root}/dead/batch={batch_id}")
         top = fresh.agg(F.max("us")).first()[0]  # from the written file's statistics
         clock = max(x for x in (clock, top) if x is not None) if (clock is not None or top is not None) else None
-        self.store.publish("STATE", json.dumps({"batch": batch_id, "clock_us": clock}))
+        self.store.publish("STATE", json.dumps({"batch": batch_id, "clock_us": clock, "before_us": before}))
 
     def _history(self, batch_id: int, clock: int | None) -> DataFrame | None:
         """The staged rows of earlier batches that a window can still reach; partitions by day are pruned."""
@@ -151,9 +153,11 @@ def deduplicated(stream: DataFrame, key: str, time: str, delay: str = "48 hours"
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def hourly_counts(stream: DataFrame, time: str, amount: str, delay: str = "24 hours") -> DataFrame:
-    """Counts and totals by event hour in Spark's own state, final once the delay has passed."""
-    return stream.withWatermark(time, delay).groupBy(F.window(time, "1 hour")).agg(F.count(F.lit(1)).alias("n_events"), F.sum(amount).alias("amount_cents"))
+def hourly_counts(stream: DataFrame, time: str, amount: str, delay: str | None = "24 hours") -> DataFrame:
+    """Counts and totals by event hour in Spark's own state, final once the delay has passed; with no delay
+    given, the stream's own watermark counts."""
+    marked = stream if delay is None else stream.withWatermark(time, delay)
+    return marked.groupBy(F.window(time, "1 hour")).agg(F.count(F.lit(1)).alias("n_events"), F.sum(amount).alias("amount_cents"))
 
 
 def collect_labels(spark: SparkSession, lines: DataFrame, spool: tables.HourSpool, checkpoint: str) -> None:
