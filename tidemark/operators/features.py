@@ -306,7 +306,8 @@ def first_row(rows: DataFrame, columns: Sequence[str], order: Sequence[str | Col
     """An aggregate: the struct of `columns` of a group's first row by `order`, the other columns deciding ties.
     Columns that have no order of their own (maps) count by their JSON."""
     kinds = dict(rows.dtypes)
-    rest = [c for c in columns if c not in order]
+    named = {o for o in order if isinstance(o, str)}
+    rest = [c for c in columns if c not in named]
     lead = [(F.col(o) if isinstance(o, str) else o).alias(f"__o{i}") for i, o in enumerate(order)]
     if not any("map<" in kinds[c] or "variant" in kinds[c] for c in columns):
         # The struct is its own order: the lead, then the columns.
