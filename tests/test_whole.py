@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from tests.compare import duck
+from tidemark.plans import source_queries
+from tidemark.session import scratch_path
+from tidemark.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,3 +19,31 @@ SF = "/root/testdata/sf0.001"
 def test_training_set_below_the_bounds_is_all_labelled_rows(spark):
     labelled = duck(SF).execute("SELECT count(DISTINCT event_id) FROM kept_history WHERE is_fraud IS NOT NULL").fetchone()[0]
     assert entry.queries()["train_bounded_whole"](spark, SF).count() == labelled > entry.queries()["train_bounded"](spark, SF).count()
+
+
+def test_all_closed_hours_are_sealed(spark):
+    spool = source_queries._spooled(spark, SF)
+    hours = {r[0] for r in duck(SF).execute("SELECT DISTINCT strftime(event_time, '%Y-%m-%dT%H') FROM staged_decisions WHERE event_time IS NOT NULL").fetchall()}
+    assert set(spool.sealed()) == hours - {max(hours)} and spool._of("open") == [max(hours)]
+
+
+def test_sealing_many_hours_keeps_late_rows(spark):
+    spool = tables.HourSpool(spark, scratch_path(spark, "spool"))
+    rows = spark.sql("SELECT id, timestamp'2027-09-01 00:30:00' + make_interval(0, 0, 0, 0, id % 3) AS event_time FROM range(30)")
+    spool.append(rows)
+    assert spool.seal_closed("2027-09-01T02") == ["2027-09-01T00", "2027-09-01T01"]
+    spool.append(rows.where("id < 6").withColumn("id", F.col("id") + 100))
+    assert spool.seal_closed("2027-09-01T03") == ["2027-09-01T00", "2027-09-01T01", "2027-09-01T02"]
+    assert sorted(r.id for r in spool.read().collect()) == [*range(30), *range(100, 106)]
+
+
+def test_checksums_cover_the_folder(spark, tmp_path):
+    for name in ("a/part-0", "b/part-0"):
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text(name)
+    got = {r.name: r.sha256 for r in tables.checksums(spark, str(tmp_path)).collect()}
+    assert got == {n: hashlib.sha256(n.encode()).hexdigest() for n in ("a/part-0", "b/part-0")}
+    then = spark.createDataFrame([(n, x if n != "b/part-0" else "other") for n, x in got.items()], "name string, sha256 string")
+    assert {r.name: r.state for r in tables.verify(spark, str(tmp_path), then).collect()} == {"a/part-0": "same", "b/part-0": "changed"}
+    found = {r.name: r.state for r in entry.queries()["src_checksums_whole"](spark, SF).collect()}
+    assert found == {str(p.relative_to(SF)): "same" for p in Path(SF).rglob("*") if p.is_file() and not p.name.startswith((".", "_"))}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import HOUR
 from tidemark.operators import features as fx
 from tidemark.plans.feature_queries import TXN, feature_sql
-from tidemark.session import scratch_path, table
+from tidemark.session import scratch_path, table, written
 from tidemark.sources import card_csv, generator, records, tables
 from tidemark.streaming import scorer
 
@@ -55,7 +55,7 @@ def src_replay_span(spark: SparkSession, d: str) -> DataFrame:
 
 
 def src_hour_spool(spark: SparkSession, d: str) -> DataFrame:
-    """Staged rows spooled by event day's hour, three hours sealed, and all read back by hour."""
+    """The first day's staged rows spooled by hour, three hours sealed, and all read back by hour."""
     rows = table(spark, d, "staged_decisions").select("event_id", "event_time", "amount_cents").where("event_time < timestamp'2027-09-02 00:00:00'")
     spool = tables.HourSpool(spark, scratch_path(spark, "spool"))
     spool.append(rows)
@@ -63,6 +63,19 @@ def src_hour_spool(spark: SparkSession, d: str) -> DataFrame:
     return spool.read().groupBy(F.date_format("event_time", "yyyy-MM-dd'T'HH").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount_cents").alias("amount_cents"))
 
 
+def src_hour_spool_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All staged rows spooled by hour, every hour before the data's last one sealed, and all read back by hour."""
+    return _spooled(spark, d).read().groupBy(F.date_format("event_time", "yyyy-MM-dd'T'HH").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount_cents").alias("amount_cents"))
+
+
+def _spooled(spark: SparkSession, d: str) -> tables.HourSpool:
+    spool = tables.HourSpool(spark, scratch_path(spark, "spool"))
+    spool.append(table(spark, d, "staged_decisions").select("event_id", "event_time", "amount_cents"))
+    if hours := spool.hours():
+        spool.seal_closed(hours[-1])
+    return spool
+
+
 def src_profile(spark: SparkSession, d: str) -> DataFrame:
     got = tables.profile(_txn(spark, d).drop("event_time"))
     return got.select("column", "n", F.round("missing_share", 9).alias("missing_share"), "n_distinct")
@@ -74,12 +87,17 @@ def src_time_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def src_checksums(spark: SparkSession, d: str) -> DataFrame:
-    """The small dimension files' checksums, recorded and verified."""
+    """The smallest file's checksum, recorded and verified."""
     path = f"{d}/region.parquet"
     seen = tables.checksums(spark, path)
     return tables.verify(spark, path, seen.select("name", "sha256"))
 
 
+def src_checksums_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The checksums of all the folder's files, recorded and verified."""
+    return tables.verify(spark, d, written(tables.checksums(spark, d).select("name", "sha256"), "sums"))
+
+
 def src_feature_store(spark: SparkSession, d: str) -> DataFrame:
     """Session features written in two batches, and the online rows after the second."""
     from tidemark.plans.feature_queries import transactions
@@ -170,7 +188,7 @@ def stream_dead_letters(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "src_json_log": src_json_log, "src_labels_log": src_labels_log, "src_dead_letters": src_dead_letters, "src_bad_runs": src_bad_runs, "src_replay_late": src_replay_late, "src_replay_span": src_replay_span,
-    "src_hour_spool": src_hour_spool, "src_profile": src_profile, "src_time_resolution": src_time_resolution, "src_checksums": src_checksums, "src_feature_store": src_feature_store,
+    "src_hour_spool": src_hour_spool, "src_hour_spool_whole": src_hour_spool_whole, "src_profile": src_profile, "src_time_resolution": src_time_resolution, "src_checksums": src_checksums, "src_checksums_whole": src_checksums_whole, "src_feature_store": src_feature_store,
     "map_cards": map_cards, "map_report": map_report, "gen_traffic": gen_traffic, "gen_features": gen_features, "stream_decide": stream_decide, "stream_dead_letters": stream_dead_letters,
 }
 
@@ -192,6 +210,7 @@ i AS (SELECT *, row_number() OVER (ORDER BY s) - row_number() OVER (PARTITION BY
 SELECT batch_no, us, coalesce(us < max(us) OVER (ORDER BY batch_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM b""",
     "src_replay_span": "SELECT epoch_us(min(event_time)) AS first_us, epoch_us(max(event_time)) AS last_us FROM txn_stream WHERE event_time < TIMESTAMPTZ '2027-10-01 00:00:00+00'",
     "src_hour_spool": "SELECT strftime(event_time, '%Y-%m-%dT%H') AS hour, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS amount_cents FROM staged_decisions WHERE event_time < TIMESTAMPTZ '2027-09-02 00:00:00+00' GROUP BY 1",
+    "src_hour_spool_whole": "SELECT strftime(event_time, '%Y-%m-%dT%H') AS hour, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS amount_cents FROM staged_decisions WHERE event_time IS NOT NULL GROUP BY 1",
     "src_profile": " UNION ALL ".join(f"SELECT '{c}' AS column, count(*) AS n, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 9) AS missing_share, count(DISTINCT {c}) AS n_distinct FROM txn_stream" for c in _COLUMNS),
     "src_time_resolution": """WITH u AS (SELECT epoch_us(event_time) AS us, count(*) AS n FROM txn_stream GROUP BY 1), g AS (SELECT *, us - lag(us) OVER (ORDER BY us) AS gap FROM u)
 SELECT min(us) AS first_us, max(us) AS last_us, count(*) AS n_distinct, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 9) AS share_sharing, min(gap) AS smallest_gap_us FROM g""",

@@ -79,23 +79,29 @@ class HourSpool:
 
     def seal(self, hour: str, sort: Sequence[str] = (), max_rows: int = 5_000_000) -> bool:
         """Compacts an hour's open files, and what was sealed of it before; False if nothing is open."""
-        if hour not in self._of("open"):
-            return False
-        rows = self.read([hour])
-        out = rows.sortWithinPartitions(*sort) if sort else rows
-        target = f"{self.root}/sealing/hour={hour}"
-        out.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", max_rows).parquet(target)
-        self.store.delete(f"sealed/hour={hour}")
+        return bool(self._seal([hour], sort, max_rows))
+
+    def _seal(self, hours: Sequence[str], sort: Sequence[str] = (), max_rows: int = 5_000_000) -> list[str]:
+        """Compacts those of the hours that are open: written in one job, then published one by one."""
+        due = sorted({*hours} & {*self._of("open")})
+        if not due:
+            return []
+        rows = self.read(due).withColumn("hour", F.date_format(self.time, "yyyy-MM-dd'T'HH"))
+        # Rows of an hour come together; a large hour is split by its size.
+        out = rows.hint("rebalance", "hour")
+        out = out.sortWithinPartitions("hour", *sort) if sort else out
+        out.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", max_rows).partitionBy("hour").parquet(f"{self.root}/sealing")
         path, fs = self.store._path, self.store._fs
         fs.mkdirs(path(f"{self.root}/sealed"))
-        fs.rename(path(target), path(f"{self.root}/sealed/hour={hour}"))
-        self.store.delete(f"open/hour={hour}")
-        return True
+        for hour in due:
+            self.store.delete(f"sealed/hour={hour}")
+            fs.rename(path(f"{self.root}/sealing/hour={hour}"), path(f"{self.root}/sealed/hour={hour}"))
+            self.store.delete(f"open/hour={hour}")
+        return due
 
     def seal_closed(self, now_hour: str, limit: int | None = None) -> list[str]:
         """Seals open hours before now_hour, the oldest first."""
-        due = [h for h in self._of("open") if h < now_hour][:limit]
-        return [h for h in due if self.seal(h)]
+        return self._seal([h for h in self._of("open") if h < now_hour][:limit])
 
     def delete(self, hours: Sequence[str]) -> None:
         for h in hours:
@@ -156,9 +162,12 @@ def time_resolution(rows: DataFrame, time: str) -> DataFrame:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(name, size, sha256) of the files under a path. A file is read whole by one task."""
+    """(name, size, sha256) of the files under a path, named from there on. A file is read whole by one task."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    below = F.when(F.startswith("path", F.lit(f"{root}/")), F.substring("path", len(root) + 2, 1_000_000)).otherwise(F.element_at(F.split("path", "/"), -1))
+    return files.select(below.alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify(spark: SparkSession, path: str, recorded: DataFrame) -> DataFrame:
