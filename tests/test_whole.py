@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from tests.compare import duck
 from tidemark.plans import source_queries
 from tidemark.session import scratch_path
-from tidemark.sources import tables
+from tidemark.sources import records, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +47,12 @@ def test_checksums_cover_the_folder(spark, tmp_path):
     assert {r.name: r.state for r in tables.verify(spark, str(tmp_path), then).collect()} == {"a/part-0": "same", "b/part-0": "changed"}
     found = {r.name: r.state for r in entry.queries()["src_checksums_whole"](spark, SF).collect()}
     assert found == {str(p.relative_to(SF)): "same" for p in Path(SF).rglob("*") if p.is_file() and not p.name.startswith((".", "_"))}
+
+
+def test_good_records_end_a_bad_run_inside_and_across_minutes(spark):
+    full = spark.read.parquet(f"{SF}/txn_stream.parquet").where("schema_version = 2 AND event_time IS NOT NULL").limit(1).select(*[f.name for f in records.TRANSACTION.fields])
+    bad = [1, 0, 1, 1, 0, 0, 1, 0, 1, 0, 1, 1, 1, 0, 0, 1]  # five seconds apart: each minute has a bad one
+    n = spark.createDataFrame(list(enumerate(bad)), "n int, bad int")
+    rows = full.crossJoin(n).withColumn("event_time", F.timestamp_seconds(1_820_000_000 + F.col("n") * 5)).withColumn("event_id", F.format_string("e%03d", "n"))
+    rows = rows.withColumn("schema_version", F.when(F.col("bad") == 1, 1).otherwise(2).cast(full.schema["schema_version"].dataType)).drop("n", "bad")
+    assert source_queries._bad_runs(rows).first().longest == 3

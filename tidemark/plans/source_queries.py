@@ -36,11 +36,14 @@ def src_dead_letters(spark: SparkSession, d: str) -> DataFrame:
 
 def src_bad_runs(spark: SparkSession, d: str) -> DataFrame:
     """The longest run of bad records, the log being in order of event time and id."""
-    rows = _txn(spark, d)
-    at = F.unix_micros("event_time")
-    lines = rows.withColumn("value", F.to_json(F.struct(*rows.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "ignoreNullFields": "false"})).select(F.floor(at / 60_000_000).alias("seq"), "value")
-    one = records.decoded(lines).groupBy("seq").agg(F.max("reason").alias("reason"))
-    return records.longest_bad_run(one, "seq")
+    return _bad_runs(_txn(spark, d))
+
+
+def _bad_runs(rows: DataFrame) -> DataFrame:
+    """Every record counts; of equal time and id the good come first."""
+    lines = rows.withColumn("value", F.to_json(F.struct(*rows.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "ignoreNullFields": "false"})).select(F.unix_micros("event_time").alias("us"), "event_id", "value")
+    log = records.decoded(lines).select("us", "event_id", "reason")
+    return records.longest_bad_run(tables.numbered(log, F.floor(F.col("us") / 60_000_000), ["us", "event_id", "reason"]), "seq")
 
 
 def src_replay_late(spark: SparkSession, d: str) -> DataFrame:

@@ -37,6 +37,17 @@ def in_time_order(rows: DataFrame, time: str, seq: str, strict: bool = True) ->
     return marked.withColumn(time, checked.cast(rows.schema[time].dataType)).select(*rows.columns)
 
 
+def numbered(rows: DataFrame, part: Column, order: Sequence[str], name: str = "seq") -> DataFrame:
+    """rows with their places from 0 on in order of (part, order): places inside a part, after the rows of the
+    parts before. `part` must not fall while `order` grows; only the parts' sizes meet in one task."""
+    placed = rows.withColumn("__p", part)
+    sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    starts = sizes.select(F.col("__p").alias("__q"), ahead.alias("__ahead"))
+    inside = placed.withColumn("__i", F.row_number().over(W.partitionBy("__p").orderBy(*order)) - 1)
+    return inside.join(starts, F.col("__p").eqNullSafe(F.col("__q"))).select(*rows.columns, (F.col("__i") + F.col("__ahead")).alias(name))
+
+
 def before(rows: DataFrame, time: str, moment: Column) -> DataFrame:
     """Rows strictly before a moment."""
     return rows.where(F.col(time) < moment)
