@@ -56,3 +56,14 @@ def test_good_records_end_a_bad_run_inside_and_across_minutes(spark):
     rows = full.crossJoin(n).withColumn("event_time", F.timestamp_seconds(1_820_000_000 + F.col("n") * 5)).withColumn("event_id", F.format_string("e%03d", "n"))
     rows = rows.withColumn("schema_version", F.when(F.col("bad") == 1, 1).otherwise(2).cast(full.schema["schema_version"].dataType)).drop("n", "bad")
     assert source_queries._bad_runs(rows).first().longest == 3
+
+
+def test_late_deliveries_are_found_among_all_rows(spark):
+    got = entry.queries()["src_replay_late_whole"](spark, SF)
+    assert got.count() == duck(SF).execute("SELECT count(*) FROM staged_decisions").fetchone()[0]
+
+
+def test_numbers_follow_parts_then_order(spark):
+    rows = spark.createDataFrame([(k // 7, (k * 5) % 7) for k in range(30)], "b int, v int")
+    got = [(r.b, r.v) for r in tables.numbered(rows, F.col("b"), ["v"]).orderBy("seq").collect()]
+    assert got == sorted((k // 7, (k * 5) % 7) for k in range(30))

@@ -47,11 +47,18 @@ def _bad_runs(rows: DataFrame) -> DataFrame:
 
 
 def src_replay_late(spark: SparkSession, d: str) -> DataFrame:
-    """Deliveries in order of batch and decision that are earlier in event time than one before them."""
+    """Batches whose newest row is earlier in event time than one of a batch before."""
     rows = table(spark, d, "staged_decisions").groupBy("batch_no").agg(F.max(F.unix_micros("event_time")).alias("us"))
     return tables.late_in_log(rows, "us", "batch_no", block=64)
 
 
+def src_replay_late_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries in order of batch and decision, and whether each is earlier in event time than one before it."""
+    rows = table(spark, d, "staged_decisions").select("batch_no", "decided_at", "event_id", F.unix_micros("event_time").alias("us"))
+    log = tables.numbered(rows, F.col("batch_no"), ["decided_at", "event_id", "us"])
+    return tables.late_in_log(log, "us", "seq").select("batch_no", "event_id", "us", "late")
+
+
 def src_replay_span(spark: SparkSession, d: str) -> DataFrame:
     cut = tables.before(_txn(spark, d), "event_time", F.lit("2027-10-01 00:00:00").cast("timestamp"))
     return tables.span(cut, "event_time").select(F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
@@ -190,7 +197,7 @@ def stream_dead_letters(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "src_json_log": src_json_log, "src_labels_log": src_labels_log, "src_dead_letters": src_dead_letters, "src_bad_runs": src_bad_runs, "src_replay_late": src_replay_late, "src_replay_span": src_replay_span,
+    "src_json_log": src_json_log, "src_labels_log": src_labels_log, "src_dead_letters": src_dead_letters, "src_bad_runs": src_bad_runs, "src_replay_late": src_replay_late, "src_replay_late_whole": src_replay_late_whole, "src_replay_span": src_replay_span,
     "src_hour_spool": src_hour_spool, "src_hour_spool_whole": src_hour_spool_whole, "src_profile": src_profile, "src_time_resolution": src_time_resolution, "src_checksums": src_checksums, "src_checksums_whole": src_checksums_whole, "src_feature_store": src_feature_store,
     "map_cards": map_cards, "map_report": map_report, "gen_traffic": gen_traffic, "gen_features": gen_features, "stream_decide": stream_decide, "stream_dead_letters": stream_dead_letters,
 }
@@ -211,6 +218,7 @@ SQL = {
 i AS (SELECT *, row_number() OVER (ORDER BY s) - row_number() OVER (PARTITION BY bad ORDER BY s) AS g FROM o) SELECT coalesce(max(n), 0) AS longest FROM (SELECT count(*) AS n FROM i WHERE bad = 1 GROUP BY g)""",
     "src_replay_late": """WITH b AS (SELECT batch_no, epoch_us(max(event_time)) AS us FROM staged_decisions GROUP BY 1)
 SELECT batch_no, us, coalesce(us < max(us) OVER (ORDER BY batch_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM b""",
+    "src_replay_late_whole": """SELECT batch_no, event_id, epoch_us(event_time) AS us, coalesce(epoch_us(event_time) < max(epoch_us(event_time)) OVER (ORDER BY batch_no NULLS FIRST, decided_at NULLS FIRST, event_id NULLS FIRST, event_time NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM staged_decisions""",
     "src_replay_span": "SELECT epoch_us(min(event_time)) AS first_us, epoch_us(max(event_time)) AS last_us FROM txn_stream WHERE event_time < TIMESTAMPTZ '2027-10-01 00:00:00+00'",
     "src_hour_spool": "SELECT strftime(event_time, '%Y-%m-%dT%H') AS hour, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS amount_cents FROM staged_decisions WHERE event_time < TIMESTAMPTZ '2027-09-02 00:00:00+00' GROUP BY 1",
     "src_hour_spool_whole": "SELECT strftime(event_time, '%Y-%m-%dT%H') AS hour, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS amount_cents FROM staged_decisions WHERE event_time IS NOT NULL GROUP BY 1",
