@@ -63,7 +63,7 @@ class Params:
 LETTERS = " abcdefghijklmnopqrstuvwxyz"
 _N = len(LETTERS)
 _BREAK = regex.compile(r"(?<=[.!?…])[\"'”’»)\]*_]*\s+|\r?\n|\r|</?\w+[^<>]{0,80}>|\|")
-_CONTINUES = regex.compile(r"^[\s>*_-]*(?:\p{Ll}|\p{N})")
+_CONTINUES = regex.compile(r"[\s>*_-]*(?:\p{Ll}|\p{N})")
 _LEAD = regex.compile(r"^[\s>*_#-]*(?:\[\d{1,2}:\d{2}\]\s*\p{Lu}:|\d{1,3}[.)](?=\s))?")
 _WORD = regex.compile(r"^[\p{P}\p{S}\p{Cf}]*\p{L}[\p{L}\p{M}\p{Cf}]*(?:['’‑.-][\p{L}\p{M}]+)*[\p{P}\p{S}\p{Cf}]*$")
 _TABLE = {i: None for i in range(0x300, 0x370)}
