@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import HOUR, MINUTE
+from tidemark.functions.times import DAY, HOUR, MINUTE
 from tidemark.operators import dedupe, entity_vectors, late_views, rolling
 from tidemark.plans import problems
 from tidemark.session import scratch_path
@@ -61,26 +61,63 @@ def test_versions_end_at_the_final_view(spark):
     assert frozen == final
 
 
+def us(moment):
+    return round((moment - dt.datetime(1970, 1, 1, tzinfo=dt.UTC)).total_seconds() * 1e6)
+
+
+def lambda_view(spark, policy=POLICY):
+    return late_views.LambdaView(spark, scratch_path(spark, "lambda"), policy, "t", "a", measures())
+
+
+def served(view):
+    return {r["__start"]: (r.n, r.total) for r in view.view().collect() if r.n}
+
+
+def test_a_run_off_the_schedule_counts_once(spark):
+    for grace, at_run in ((10 * MINUTE, 1), (2 * HOUR, 1)):
+        view = lambda_view(spark, late_views.LatePolicy(period=HOUR, grace=grace, cutoff=24 * HOUR))
+        view.add(1, log(spark, [("a", at(hours=9, minutes=30), at(hours=10, minutes=15), 5)]))
+        view.recompute(us(at(hours=10, minutes=30)))
+        assert served(view) == {us(at(hours=9)): (at_run, 5)}
+        view.recompute(us(at(hours=13, minutes=7)))
+        assert served(view) == {us(at(hours=9)): (1, 5)}
+
+
 def test_layers_on_storage_agree_with_the_log(spark):
     rnd = random.Random(4)
     rows = sorted([(f"e{i}", at(minutes=rnd.randrange(600)), at(minutes=rnd.randrange(2700)), rnd.randrange(100)) for i in range(200)], key=lambda r: r[2])
-    view = late_views.LambdaView(spark, scratch_path(spark, "lambda"), POLICY, "t", "a", measures())
-    us = lambda x: int(x.timestamp() * 1e6)
-    start = us(T0)
+    view, closed = lambda_view(spark), lambda upto: {
+        r["__start"]: (r.n, r.total) for r in late_views.final_views(log(spark, [x for x in rows if x[2] <= upto]), POLICY, "t", "a", measures()).collect() if r.n
+    }
     for day in range(3):
         due = [r for r in rows if day * 15 * 60 <= (r[2] - T0).total_seconds() / 60 < (day + 1) * 15 * 60]
         view.add(day, log(spark, due))
-        view.add(day, log(spark, due))  # delivered again: replaces itself
-        if day < 2:
-            view.recompute(log(spark, rows), start + (day + 1) * 15 * HOUR)
-    served = {r["__start"]: (r.n, r.total) for r in view.view().collect()}
-    want = {r["__start"]: (r.n, r.total) for r in late_views.final_views(log(spark, rows), POLICY, "t", "a", measures()).collect() if r.n}
-    assert served == want
-    view.recompute(log(spark, rows), start + 60 * HOUR)
-    frozen = view.view().where("frozen").count()
-    view.recompute(log(spark, rows + [("late", at(), at(minutes=5), 1000)]), start + 61 * HOUR)
-    assert view.view().where("frozen").count() == frozen
-    assert {r["__start"]: (r.n, r.total) for r in view.view().collect()} == want  # frozen periods don't move
+        view.add(day, log(spark, due))  # delivered again: not taken in again
+        moment = at(hours=(day + 1) * 15, minutes=17 * day - 20)
+        view.recompute(us(moment))
+        view.recompute(us(moment))
+        early = {s for s, in view.view().where("not frozen").select("__start").collect() if s + HOUR + POLICY.grace >= us(moment)}
+        want = closed(moment)
+        assert {s: v for s, v in served(view).items() if s not in early} == {s: v for s, v in want.items() if s + HOUR + POLICY.grace < us(moment)}
+    view.recompute(us(at(hours=60)))
+    want = closed(at(hours=60))
+    assert served(view) == want and view.view().where("not frozen").count() == 0
+    view.add(9, log(spark, [("late", at(), at(minutes=5), 1000)]))  # to a frozen period: refused
+    view.recompute(us(at(hours=61)))
+    assert served(view) == want and "late" in {r.event_id for r in view.refused().collect()}
+    with pytest.raises(ValueError):
+        view.recompute(us(at(hours=59)))
+    outcomes = {(r.event_id, r.outcome) for r in late_views.late_outcomes(log(spark, rows), POLICY, "t", "a").collect()}
+    assert outcomes == {(r.event_id, "corrected") for r in view.corrections().collect()} | {(r.event_id, "refused") for r in view.refused().collect() if r.event_id != "late"}
+    fast = spark.read.parquet(f"{view.root}/fast").groupBy("__start").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    assert {r["__start"]: (r.n, r.total) for r in fast.collect()} == {r["__start"]: (r.provisional_n, r.provisional_total) for r in view.frozen().collect() if r.provisional_n}
+
+
+def test_replay_of_nothing_and_of_odd_rows(spark):
+    empty = late_views.replay(lambda_view(spark), log(spark, []), DAY)
+    assert empty.view().count() == empty.corrections().count() == empty.refused().count() == 0
+    odd = late_views.replay(lambda_view(spark), log(spark, [("a", None, at(), 1), ("b", at(), None, 1), ("c", at(hours=5), at(), None), ("d", at(), at(days=9), 3)]), DAY)
+    assert served(odd) == {us(at(hours=5)): (1, 0)} and [r.event_id for r in odd.refused().collect()] == ["d"]
 
 
 def test_policy_is_checked():

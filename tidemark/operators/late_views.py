@@ -1,12 +1,12 @@
 """Per-period aggregates by event time, corrected as late records arrive, up to a cut-off.
 
-Two layers keep one view. The fast layer adds the increments of what arrives while a period is
-provisional (up to `grace` after its end). The batch layer runs on a schedule: it recomputes each
-period that is still open from the full log, replaces the period's row, and freezes it at the first
-run after `cutoff`; what arrives after the cut-off is refused and moves nothing.
+Two layers keep one view (`LambdaView`). The fast layer takes each delivery in as it comes: records of
+periods that are still provisional (up to `grace` after their end) are added to increments, later ones are
+left to the batch layer, and what comes after `cutoff`, or to a frozen period, is refused. The batch layer
+runs on a schedule: it recomputes each period that is closed to the fast layer and still open from the full
+log, replaces the period's row, and freezes it at the first run after `cutoff`.
 
-Records are distinct already (see `earliest_arrivals`); the fast layer alone would count a record
-delivered in two batches twice, which the next recompute puts right.
+Records are distinct already (see `earliest_arrivals`).
 
 Defined cases: an arrival exactly at a limit is within it; a record without event time or arrival
 time belongs to no period and appears in no view; a null amount adds nothing but its record counts;
@@ -15,15 +15,17 @@ an arrival before its event is an early arrival and on time; an empty log gives
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from tidemark.functions.times import DAY, HOUR, MINUTE, floor_to, micros
-from tidemark.session import FileStore
+from tidemark.session import FileStore, scratch_path
 
 FAST, BATCH, REFUSED = "fast", "batch", "refused"
 
@@ -61,7 +63,8 @@ def placed(log: DataFrame, policy: LatePolicy, event_time: str, arrival: str) ->
 
 
 def late_outcomes(log: DataFrame, policy: LatePolicy, event_time: str, arrival: str) -> DataFrame:
-    """Rows that the fast layer's view lacks, with `outcome`: corrected by a recompute, or refused."""
+    """The rule in closed form, as an oracle for the layers: rows that the fast layer's view lacks, with
+    `outcome`: corrected by a recompute, or refused."""
     rows = placed(log, policy, event_time, arrival).where(F.col("__lane").isin(BATCH, REFUSED))
     return rows.withColumn("outcome", F.when(F.col("__lane") == BATCH, "corrected").otherwise("refused"))
 
@@ -71,7 +74,8 @@ def _sums(measures: dict[str, Column], on: Column) -> list[Column]:
 
 
 def final_views(log: DataFrame, policy: LatePolicy, event_time: str, arrival: str, measures: dict[str, Column]) -> DataFrame:
-    """One row per period: the frozen sums, the provisional ones as first shown, and the refused records.
+    """One row per period: the frozen sums, the provisional ones as first shown, and the refused records, in
+    closed form over a whole log.
 
     measures: name -> whole-number column to be summed (a literal 1 counts)."""
     lane = F.col("__lane")
@@ -122,55 +126,144 @@ def earliest_arrivals(rows: DataFrame, key: str, arrival: str, fixed: Sequence[s
 
 
 class LambdaView:
-    """The two layers on storage: `root/fast/batch=N` increments and `root/batch/run=R` views.
+    """The two layers on storage, under `root`:
 
-    Both layers may be rerun: a fast batch overwrites its own folder, and a run is published by
-    renaming the pointer file last, so a lost executor or a rerun leaves no half-written view."""
+    `log/batch=N`         the deliveries' rows with __start, __at and __lane, the layer that took each in
+    `fast/batch=N`        the increments of a delivery, one row per provisional period in it
+    `runs/run=R/frozen=F` the periods that run R recomputed; those frozen are written once and never again
+    `CURRENT`             the last run's moment, all runs, and the fast batches that still count
+
+    CURRENT is renamed into place last, so a lost executor or a rerun leaves no half-written view; a delivery
+    or a run that is there already isn't taken in again. Periods lie in the log as a plain column, so a run
+    reads the deliveries that hold open periods and leaves out the rest by their statistics."""
 
     def __init__(self, spark: SparkSession, root: str, policy: LatePolicy, event_time: str, arrival: str, measures: dict[str, Column]):
         self.spark, self.root, self.policy = spark, root.rstrip("/"), policy
         self.event_time, self.arrival, self.measures = event_time, arrival, measures
         self.store = FileStore(spark, self.root)
 
-    def _placed(self, rows: DataFrame) -> DataFrame:
-        return placed(rows, self.policy, self.event_time, self.arrival)
+    def _state(self) -> dict:
+        return json.loads(self.store.read("CURRENT") or '{"as_of": null, "runs": [], "fast": {}}')
+
+    def _is_frozen(self, as_of: int) -> Column:
+        return F.col("__start") + (self.policy.period + self.policy.cutoff) < as_of
+
+    def _is_provisional(self, as_of: int) -> Column:
+        return F.col("__start") >= as_of - self.policy.period - self.policy.grace
 
     def add(self, batch_id: int, rows: DataFrame) -> None:
-        """Fast layer: the increments of one delivery, by period and scheduled run that will cover them."""
-        run = (F.ceil(F.col("__at") / F.lit(self.policy.every)).cast("long") * self.policy.every).alias("covered_by")
-        taken = self._placed(rows).where(F.col("__lane").isin(FAST, BATCH))
-        taken.groupBy("__start", run).agg(*_sums(self.measures, F.lit(True))).write.mode("overwrite").parquet(f"{self.root}/fast/batch={batch_id}")
-
-    def recompute(self, log: DataFrame, as_of: int) -> None:
-        """Batch layer at moment as_of (micros): frozen periods stay, open ones come anew from the log."""
-        due = F.col("__start") + self.policy.period + self.policy.cutoff
-        old = self._batch()
-        rows = self._placed(log).where(F.col("__lane").isin(FAST, BATCH) & (F.col("__at") <= as_of))
-        if old is not None:
-            frozen = old.where("frozen")
-            last = int(self.store.read("CURRENT"))
-            rows = rows.where(due >= last)
-        fresh = rows.groupBy("__start").agg(*_sums(self.measures, F.lit(True))).withColumn("frozen", due < as_of)
-        view = fresh if old is None else frozen.unionByName(fresh)
-        view.write.mode("overwrite").parquet(f"{self.root}/batch/run={as_of}")
-        self.store.publish("CURRENT", str(as_of))
-
-    def _batch(self) -> DataFrame | None:
-        last = self.store.read("CURRENT")
-        return None if last is None else self.spark.read.parquet(f"{self.root}/batch/run={last}")
+        """Fast layer: takes one delivery in. A batch_id that was taken in before changes nothing."""
+        state, name = self._state(), str(batch_id)
+        if name in state["fast"]:
+            return
+        lane = F.col("__lane")
+        if state["as_of"] is not None:
+            lane = F.when(self._is_frozen(state["as_of"]), REFUSED).otherwise(lane)
+        taken = placed(rows, self.policy, self.event_time, self.arrival).where("__lane IS NOT NULL").withColumn("__lane", lane)
+        taken.write.mode("overwrite").parquet(f"{self.root}/log/batch={batch_id}")
+        state["schema"] = taken.schema.jsonValue()
+        log = self.spark.read.schema(taken.schema).parquet(f"{self.root}/log/batch={batch_id}")
+        seen = Observation()
+        increments = log.where(F.col("__lane") == FAST).groupBy("__start").agg(*_sums(self.measures, F.lit(True)))
+        increments.coalesce(1).observe(seen, F.max("__start").alias("newest")).write.mode("overwrite").parquet(f"{self.root}/fast/batch={batch_id}")
+        state["fast"][name] = seen.get["newest"]
+        self.store.publish("CURRENT", json.dumps(state))
+
+    def log(self) -> DataFrame | None:
+        """All deliveries' rows, with `batch`, __start, __at and __lane."""
+        state = self._state()
+        if not state["fast"]:
+            return None
+        schema = StructType.fromJson(state["schema"]).add("batch", "long")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/log")
+
+    def recompute(self, as_of: int) -> None:
+        """Batch layer at moment as_of (micros), on or off the schedule: periods closed to the fast layer and
+        not frozen by an earlier run come anew from the log as it stood at as_of, those past the cut-off for
+        the last time. Runs go forward; a run that was published before changes nothing."""
+        state = self._state()
+        last = state["as_of"]
+        if last is not None and as_of <= last:
+            if as_of < last and as_of not in state["runs"]:
+                raise ValueError(f"a run at {as_of} after one at {last}")
+            return
+        log = self.log()
+        if log is not None:
+            lane = F.col("__lane")
+            rows = log.where((lane != REFUSED) & (F.col("__at") <= as_of) & ~self._is_provisional(as_of))
+            if last is not None:
+                rows = rows.where(F.col("__start") >= last - self.policy.period - self.policy.cutoff)
+            provisional = {f"provisional_{k}": v for k, v in self.measures.items()}
+            fresh = rows.groupBy("__start").agg(
+                *_sums(self.measures, F.lit(True)), *_sums(provisional, lane == FAST), F.count_if(lane == BATCH).alias("n_corrections")
+            )
+            fresh.coalesce(1).withColumn("frozen", self._is_frozen(as_of)).write.partitionBy("frozen").mode("overwrite").parquet(f"{self.root}/runs/run={as_of}")
+            state["runs"].append(as_of)
+        state["as_of"] = as_of
+        self.store.publish("CURRENT", json.dumps(state))
+
+    def _runs(self, frozen: bool, runs: Sequence[int]) -> DataFrame:
+        """The periods that the runs named left frozen, or open."""
+        kinds = ", ".join(["__start BIGINT", *[f"{p}{m} BIGINT" for p in ("", "provisional_") for m in self.measures], "n_corrections BIGINT"])
+        there = [p for p in (f"runs/run={r}/frozen={str(frozen).lower()}" for r in runs) if self.store.exists(p)]
+        read = self.spark.read.schema(kinds)
+        rows = read.parquet(*[f"{self.root}/{p}" for p in there]) if there else self.spark.createDataFrame([], kinds)
+        return rows.withColumn("frozen", F.lit(frozen))
+
+    def frozen(self) -> DataFrame:
+        """(__start, measures, provisional_measures, n_corrections, frozen) of all frozen periods."""
+        return self._runs(True, self._state()["runs"])
+
+    def corrections(self) -> DataFrame:
+        """The log's rows by which frozen periods differ from what the fast layer had shown of them."""
+        log = self.log()
+        if log is None:
+            raise ValueError("no batch has been added")
+        changed = self.frozen().where("n_corrections > 0").select("__start")
+        return log.where(F.col("__lane") == BATCH).join(changed, "__start", "left_semi")
+
+    def refused(self) -> DataFrame:
+        """The log's rows that came after the cut-off, or to a frozen period."""
+        log = self.log()
+        if log is None:
+            raise ValueError("no batch has been added")
+        return log.where(F.col("__lane") == REFUSED)
 
     def view(self) -> DataFrame:
-        """What is served: the last batch view plus the increments that it doesn't cover yet."""
-        last, names = self.store.read("CURRENT"), list(self.measures)
-        parts = []
-        if last is not None:
-            parts.append(self._batch().select("__start", *names, "frozen"))
-        if self.store.exists("fast"):
-            fast = self.spark.read.parquet(f"{self.root}/fast")
-            if last is not None:
-                fast = fast.where(F.col("covered_by") > int(last))
-            parts.append(fast.groupBy("__start").agg(*[F.sum(m).alias(m) for m in names]).withColumn("frozen", F.lit(False)))
-        if not parts:
+        """(__start, measures, frozen) as served: periods of the batch layer's rows, and for the provisional
+        ones the fast layer's increments. No period comes from both. Fast batches without a provisional
+        period aren't read."""
+        state, names = self._state(), list(self.measures)
+        if not state["fast"] and state["as_of"] is None:
             raise ValueError("no batch has been added and no run has been made")
-        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        return rows.groupBy("__start").agg(*[F.sum(m).alias(m) for m in names], F.max("frozen").alias("frozen"))
+        last = state["as_of"]
+        rows = self.frozen().unionByName(self._runs(False, state["runs"][-1:])).select("__start", *names, "frozen")
+        reach = None if last is None else last - self.policy.period - self.policy.grace
+        counts = [n for n, newest in state["fast"].items() if newest is not None and (reach is None or newest >= reach)]
+        if not counts:
+            return rows
+        kinds = ", ".join(["__start BIGINT", *[f"{m} BIGINT" for m in names]])
+        fast = self.spark.read.schema(kinds).parquet(*[f"{self.root}/fast/batch={n}" for n in counts])
+        if last is not None:
+            fast = fast.where(self._is_provisional(last))
+        return rows.unionByName(fast.groupBy("__start").agg(*[F.sum(m).alias(m) for m in names]).withColumn("frozen", F.lit(False)))
+
+
+def replay(view: LambdaView, rows: DataFrame, step: int) -> LambdaView:
+    """Feeds rows to the view in the order of their arrival, in deliveries of `step` microseconds, with a run of
+    the batch layer after each, and one at the end by which every period is frozen."""
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "deliveries")
+    slices = rows.withColumn("__slice", F.floor(micros(view.arrival) / F.lit(step)).cast("long")).where("__slice IS NOT NULL")
+    slices.write.partitionBy("__slice").parquet(path)
+    numbers = sorted(int(n.split("=")[1]) for n in FileStore(spark, path).list() if n.startswith("__slice="))
+    for n in numbers:
+        view.add(n, spark.read.schema(rows.schema).parquet(f"{path}/__slice={n}"))
+        view.recompute((n + 1) * step - 1)
+    if not numbers:
+        view.add(0, rows)
+        view.recompute(0)
+    else:
+        newest = view.log().where(F.col("__lane") != REFUSED).agg(F.max("__start")).first()[0]
+        if newest is not None:
+            view.recompute(max(newest + view.policy.period + view.policy.cutoff + 1, (numbers[-1] + 1) * step))
+    return view
