@@ -203,34 +203,65 @@ def test_dedupe_one_row_each_whatever_the_partitioning(spark):
             want[r[0]] = (k, r)
     for n in (1, 7):
         df = spark.createDataFrame(rows, MSG).repartition(n)
-        kept = dedupe.SeenStore(spark, scratch_path(spark, "seen"), shards=3).take(df, "id", "a", ["x"]).collect()
+        kept = seen_store(spark).take(df, "id", "a", ["x"]).collect()
         assert {r.id: (r.a, r.x) for r in kept if r.id is not None} == {k: (v[1][1].replace(tzinfo=None) if v[1][1] else None, v[1][2]) for k, v in want.items()}
         assert sum(r.id is None for r in kept) == sum(r[0] is None for r in rows)
 
 
+def messages(spark, *rows):
+    return spark.createDataFrame([(i, a, 0, 0, "") for i, a in rows], MSG)
+
+
+def seen_store(spark, root=None):
+    return dedupe.SeenStore(spark, root or scratch_path(spark, "seen"), per_shard=20)
+
+
 def test_dedupe_across_deliveries(spark):
-    store = dedupe.SeenStore(spark, scratch_path(spark, "seen"), shards=2)
-    mk = lambda *rows: spark.createDataFrame([(i, a, 0, 0, "") for i, a in rows], MSG)
-    assert store.take(mk(*[(f"m{i}", at()) for i in range(50)], ("z", at(hours=2))), "id", "a").count() == 51
-    second = store.take(mk(("m1", at(hours=1)), ("z", at(hours=1)), ("new", at())), "id", "a").collect()
-    assert {(r.id, r["__change"]) for r in second} == {("z", "replace"), ("new", "new")}
+    store, mk = seen_store(spark), lambda *rows: messages(spark, *rows)
+    assert store.take(mk(*[(f"m{i}", at()) for i in range(50)], ("z", at(hours=2))), "id", "a", delivery_id="one").count() == 51
+    second = store.take(mk(("m1", at(hours=1)), ("z", at(hours=1)), ("new", at()), ("new", None), (None, at())), "id", "a", delivery_id="two").collect()
+    assert {(r.id, r["__change"]) for r in second} == {("z", "replace"), ("new", "new"), (None, "new")}
     assert store.seen_count() == 52
+    again = store.take(mk(("never looked at", at())), "id", "a", delivery_id="two").collect()
+    assert sorted(map(str, again)) == sorted(map(str, second)) and store.seen_count() == 52
     assert store.take(mk(("z", at(hours=1)), ("new", at(hours=5))), "id", "a").count() == 0
     assert store.take(mk(), "id", "a").count() == 0
-    codes = store.dictionary().groupBy("shard", "code").count().where("count > 1").count()
-    assert codes == 0 and store.dictionary().count() == 52
-    again = dedupe.SeenStore(spark, store.root, shards=99)
-    assert again.shards == 2 and again.take(mk(("m7", at())), "id", "a").count() == 0
-
-
-def test_dedupe_ignores_an_unpublished_state(spark):
-    store = dedupe.SeenStore(spark, scratch_path(spark, "seen"), shards=2)
-    df = spark.createDataFrame([("a", at(), 0, 0, "")], MSG)
-    store.take(df, "id", "a")
-    published = store.version
-    store.take(spark.createDataFrame([("b", at(), 0, 0, "")], MSG), "id", "a")
-    store.store.publish("CURRENT", str(published))  # as if the second publication had not happened
-    assert [r.id for r in store.take(spark.createDataFrame([("b", at(), 0, 0, "")], MSG), "id", "a").collect()] == ["b"]
+    words = store.dictionary().groupBy("shard", "version", "code").count().where("count > 1").count()
+    assert words == 0 and store.dictionary().count() == 52 and store.dictionary().select("shard").distinct().count() == 3
+    other = seen_store(spark, store.root)
+    assert other.take(mk(("m7", at())), "id", "a").count() == 0
+    view = {r.id: (r.a, r["__copies"]) for r in store.view("id", "a").collect()}
+    plain = lambda **k: at(**k).replace(tzinfo=None)
+    assert len(view) == 53 and view["z"] == (plain(hours=1), 3) and view["new"] == (plain(), 3) and view["m7"] == (plain(), 2) and view["m2"] == (plain(), 1)
+
+
+def test_dedupe_replays_like_one_delivery_and_merges_its_deltas(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice([None, *map(str, range(90))]), rnd.choice([None, *[at(minutes=m) for m in range(6)]]), rnd.randrange(3), rnd.choice([None, *range(30)]), "k") for _ in range(600)]
+    df = spark.createDataFrame(rows, MSG)
+    store = dedupe.replay(seen_store(spark), df, "shard", 12, "id", "a", ["shard", "x"])
+    got = {r.id: (r.a, r.shard, r["__copies"]) for r in store.view("id", "a").collect() if r.id is not None}
+    want = {}
+    for i in {r[0] for r in rows} - {None}:
+        own = [r for r in rows if r[0] == i]
+        best = min(own, key=lambda r: (r[1] is None, r[1] or T0, r[3] is not None, r[3] or 0))
+        want[i] = (best[1].replace(tzinfo=None) if best[1] else None, best[3], len(own))
+    assert got == want and store.seen_count() == len(want)
+    assert store.view("id", "a").where("id IS NULL").count() == sum(r[0] is None for r in rows)
+    assert any(p.startswith("merged") for p in store._state()["dictionary"])
+
+
+def test_the_bit_decides_where_a_run_died_before_it_was_published(spark):
+    store = seen_store(spark)
+    store.take(messages(spark, ("a", at())), "id", "a", delivery_id="1")
+    before = store._state()
+    store.take(messages(spark, ("b", at()), ("a", at(hours=1))), "id", "a", delivery_id="2")
+    after = store._state()
+    # As if only the codes had been published: the dictionary knows b, its bit is not set.
+    store._publish(after | {"deliveries": before["deliveries"], "bits": before["bits"]})
+    again = store.take(messages(spark, ("b", at()), ("a", at(hours=1))), "id", "a", delivery_id="2").collect()
+    assert [(r.id, r["__change"]) for r in again] == [("b", "new")]
+    assert store.seen_count() == 2 and {r.id: r["__copies"] for r in store.view("id", "a").collect()} == {"a": 2, "b": 1}
 
 
 def test_problem_queries_are_the_same_in_other_partitions(spark, tmp_path):

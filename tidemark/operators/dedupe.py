@@ -1,127 +1,206 @@
 """Exactly one copy of each message that was delivered at least once.
 
-Identifiers are dictionary-encoded exactly: an identifier's shard is a hash, its code is its place in
-the shard, given once and for ever, so code and identifier stand for each other without collisions.
-What has been seen is one bitmap per 32,768 codes of a shard (4 KB each, compressed in Parquet). A
-delivery is reduced to one arrival per identifier, encoded, and tested against the bitmaps; unseen
-bits are then united with them and the new state is published by one rename.
-
-Copies are combined before the shuffle, so an identifier with a third of all rows is no hot spot.
-Choose `shards` so that a shard's codes sort well in one task; the state keeps its number.
+Identifiers are dictionary-encoded exactly: an identifier is given its code, a place in a shard of the delivery
+that brought it first, once and for ever, so code and identifier stand for each other without collisions.
+What has been seen is a bitmap over codes, in words of 64 bits, sharded like the codes and compressed in
+Parquet. A delivery is reduced to one arrival per identifier and encoded; the new codes are published; then
+each code's bit is tested, the arrivals of unseen bits are kept, and the bits are united with the seen
+ones and published with the delivery by one rename. A run that dies between the two publications leaves
+codes without bits, so its rerun keeps their rows; a delivery that was published before isn't taken in again.
+
+Copies are combined before the shuffle, so an identifier with a third of all rows is no hot spot. A delivery
+has as many shards as its size asks for, and identifiers are numbered inside a shard. Looking up a delivery
+reads the dictionary, but moves only what the two share where the delivery is small enough to be broadcast
+(Spark compares sizes); else both sides meet by a shuffle on the identifier. Deltas of the dictionary and
+of the bitmaps are merged every COMPACT deliveries.
 
 Defined cases: of several copies the one with the earliest arrival time is kept; ties go to the
-smallest remaining columns in the order given, so the result never depends on partitioning; a missing
-arrival time comes last; rows without identifier can't be told to be copies and are all kept, outside
-the dictionary. If a later delivery holds an earlier copy of a seen identifier, it comes out as
+earlier delivery, then to the smallest remaining columns in the order given, so the result never depends on
+partitioning; a missing arrival time comes last; rows without identifier can't be told to be copies and are
+all kept, outside the dictionary. If a later delivery holds an earlier copy of a seen identifier, it comes out as
 `replace` (with the arrival time that it replaces), so that the view by identifier stays the earliest.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from tidemark.operators.features import first_row
 from tidemark.session import FileStore
 
-BITS = 32_768
+#: Deltas that make a merge worth while, and identifiers of a delivery that one shard numbers.
+COMPACT, PER_SHARD = 8, 500_000
+_PLACE = ["shard", "version", "word"]
 
 
 def first_copies(rows: DataFrame, key: str, arrival: str, tie_break: Sequence[str] = ()) -> DataFrame:
-    """Whole rows, one per identifier, by the rule above: `rows`' columns and __copies."""
-    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id()).alias("__alone")
-    groups = rows.groupBy(key, alone)
-    best = groups.agg(first_row(rows, [c for c in rows.columns if c != key], [F.col(arrival).isNull(), arrival, *tie_break]).alias("__best"), F.count(F.lit(1)).alias("__copies"))
-    return best.select(*[F.col(key) if c == key else F.col("__best")[c].alias(c) for c in rows.columns], "__copies")
-
-
-def shard_of(key: str | Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
-
-
-def bit_is_set(bits: Column, position: Column) -> Column:
-    """Whether a bit is set in a bitmap as bitmap_construct_agg builds it; false for a null bitmap."""
-    byte = F.conv(F.hex(F.substring(bits, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, F.pmod(position, F.lit(8)).cast("int")) == 1, F.lit(False))
+    """Whole rows, one per identifier, by the rule above: `rows`' columns and __copies. Rows without
+    identifier don't take part in the shuffle."""
+    best = rows.where(F.col(key).isNotNull()).groupBy(key).agg(
+        first_row(rows, [c for c in rows.columns if c != key], [F.col(arrival).isNull(), arrival, *tie_break]).alias("__best"), F.count(F.lit(1)).alias("__copies")
+    )
+    named = best.select(*[F.col(key) if c == key else F.col("__best")[c].alias(c) for c in rows.columns], "__copies")
+    return named.unionByName(rows.where(F.col(key).isNull()).withColumn("__copies", F.lit(1).cast("long")))
 
 
 class SeenStore:
     """The dictionary and the seen-bitmaps, in numbered versions under `root`.
 
-    Version v holds `v/dictionary` (shard, key, code, kept: the arrival time kept) for the codes that
-    delivery v added or changed, and `v/bitmaps` (shard, block, bits) as a whole. The file CURRENT names
-    the versions that count; it is renamed into place last."""
+    Version v holds `arrivals` (a delivery's first copies), `coded` (key, arrival, copies, shard, version, code,
+    fresh: this delivery's identifiers with their codes), `kept` (its rows kept) and `bits` (shard, version, word,
+    bits: what it has seen first). CURRENT names what counts; it is renamed into place last."""
 
-    def __init__(self, spark: SparkSession, root: str, shards: int = 64):
-        self.spark, self.store, self.root = spark, FileStore(spark, root), root.rstrip("/")
-        said = self.store.read("SHARDS")
-        if said is None:
-            self.store.publish("SHARDS", str(shards))
-        self.shards = int(said or shards)
+    def __init__(self, spark: SparkSession, root: str, per_shard: int = PER_SHARD):
+        self.spark, self.store, self.root, self.per_shard = spark, FileStore(spark, root), root.rstrip("/"), per_shard
 
-    @property
-    def version(self) -> int:
-        return int(self.store.read("CURRENT") or 0)
+    def _state(self) -> dict:
+        return json.loads(self.store.read("CURRENT") or '{"version": 0, "deliveries": {}, "dictionary": [], "bits": [], "schemas": {}}')
 
-    def bitmaps(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.root}/{self.version}/bitmaps") if self.version else None
+    def _publish(self, state: dict) -> None:
+        self.store.publish("CURRENT", json.dumps(state))
 
-    def dictionary(self) -> DataFrame | None:
-        """(shard, key, code, kept) as of now."""
-        if not self.version:
+    def _read(self, state: dict, kind: str, paths: Sequence[str]) -> DataFrame | None:
+        if not paths:
             return None
-        parts = self.spark.read.parquet(*[f"{self.root}/{v}/dictionary" for v in range(1, self.version + 1)])
-        return parts.groupBy("shard", "key").agg(F.min("code").alias("code"), F.min("kept").alias("kept"))
-
-    def _encoded(self, best: DataFrame, key: str, arrival: str) -> DataFrame:
-        """best, with shard, __code, __old (the arrival kept so far) and __seen (its bit)."""
-        shard = best.withColumn("__shard", shard_of(key, self.shards))
-        by_shard = W.partitionBy("__shard", "__known").orderBy(key)
-        known = self.dictionary()
+        return self.spark.read.schema(StructType.fromJson(state["schemas"][kind])).parquet(*[f"{self.root}/{p}" for p in paths])
+
+    def _write(self, state: dict, kind: str, df: DataFrame, path: str) -> DataFrame:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{path}")
+        state["schemas"][kind] = df.schema.jsonValue()
+        return self._read(state, kind, [path])
+
+    def dictionary(self) -> DataFrame | None:
+        """(key, shard, version, code, kept, copies) of all deliveries published: kept is the earliest arrival."""
+        state = self._state()
+        rows = self._read(state, "coded", [p for p in state["dictionary"] if p.split("/")[0] in self._done(state)])
+        return None if rows is None else self._merged(rows).withColumnRenamed("arrival", "kept")
+
+    @staticmethod
+    def _done(state: dict) -> set[str]:
+        return {str(v) for v in state["deliveries"].values()} | {p.split("/")[0] for p in state["dictionary"] if p.startswith("merged")}
+
+    @staticmethod
+    def _merged(coded: DataFrame) -> DataFrame:
+        """One row per identifier; a copy has the code of the first."""
+        return coded.groupBy("key").agg(
+            F.min("shard").alias("shard"), F.min("version").alias("version"), F.min("code").alias("code"), F.min("arrival").alias("arrival"), F.sum("copies").alias("copies")
+        )
+
+    def _coded(self, state: dict, arrivals: DataFrame, key: str, arrival: str, version: int, shards: int) -> DataFrame:
+        """The delivery's identifiers with their codes: known ones have theirs, fresh ones get the next."""
+        own = arrivals.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(arrival).alias("arrival"), F.col("__copies").alias("copies"))
+        known = self._read(state, "coded", state["dictionary"])
+        number = F.row_number().over(W.partitionBy("__s", "fresh").orderBy("key")).cast("long") - 1
+        shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("__s")
         if known is None:
-            fresh = shard.withColumn("__known", F.lit(False))
-            return fresh.withColumns({"__code": F.row_number().over(by_shard).cast("long") - 1, "__seen": F.lit(False), "__old": F.lit(None).cast("timestamp")})
-        known = known.select(F.col("key").alias("__k"), F.col("code").alias("__had"), F.col("kept").alias("__old"))
-        # One small row a shard; the number of shards is a constant of the store.
-        used = self.dictionary().groupBy(F.col("shard").alias("__us")).agg((F.max("code") + 1).alias("__used"))
-        coded = (
-            shard.join(known, F.col(key) == F.col("__k"), "left")
-            .join(F.broadcast(used), F.col("__shard") == F.col("__us"), "left")
-            .withColumn("__known", F.col("__had").isNotNull())
+            out = own.select("*", shard, F.lit(None).cast("int").alias("shard"), F.lit(None).cast("int").alias("version"), F.lit(None).cast("long").alias("code"), F.lit(True).alias("fresh"))
+        else:
+            # The delivery's identifiers are the side that may be broadcast; what both share is as small.
+            shared = known.select("key", "shard", "version", "code").join(own.select("key"), "key").groupBy("key").agg(*[F.min(c).alias(c) for c in ("shard", "version", "code")])
+            out = own.join(shared, "key", "left").select("key", "arrival", "copies", shard, "shard", "version", "code", F.col("code").isNull().alias("fresh"))
+        return out.select(
+            "key", "arrival", "copies", F.coalesce("shard", "__s").alias("shard"), F.coalesce("version", F.lit(version)).alias("version"), F.when(F.col("fresh"), number).otherwise(F.col("code")).alias("code"), "fresh"
         )
-        code = F.when(F.col("__known"), F.col("__had")).otherwise(F.coalesce("__used", F.lit(0)) + F.row_number().over(by_shard) - 1)
-        coded = coded.withColumn("__code", code).withColumn("__block", F.floor(F.col("__code") / BITS))
-        seen = self.bitmaps().select(F.col("shard").alias("__s"), F.col("block").alias("__b"), F.col("bits").alias("__bits"))
-        joined = coded.join(seen, (F.col("__shard") == F.col("__s")) & (F.col("__block") == F.col("__b")), "left")
-        return joined.withColumn("__seen", bit_is_set(F.col("__bits"), F.pmod("__code", F.lit(BITS))))
 
-    def take(self, delivery: DataFrame, key: str, arrival: str, tie_break: Sequence[str] = ()) -> DataFrame:
+    def _judged(self, state: dict, coded: DataFrame) -> DataFrame:
+        """coded, with __seen (each code's bit) and __old, the arrival kept so far of a seen identifier."""
+        placed = coded.withColumns({"word": F.expr("code div 64"), "__bit": F.pmod("code", F.lit(64)).cast("int")})
+        bits = self._read(state, "bits", state["bits"])
+        if bits is None:
+            return placed.withColumns({"__seen": F.lit(False), "__old": F.lit(None).cast(coded.schema["arrival"].dataType)})
+        again = coded.where("NOT fresh")
+        touched = again.select("shard", "version", F.expr("code div 64").alias("word")).distinct()
+        words = bits.join(touched, _PLACE, "left_semi").groupBy(*_PLACE).agg(F.bit_or("bits").alias("__bits"))
+        done = self._read(state, "coded", [p for p in state["dictionary"] if p.split("/")[0] in self._done(state)])
+        old = done.select("key", F.col("arrival").alias("__a")).join(again.select("key"), "key").groupBy("key").agg(F.min("__a").alias("__old"))
+        seen = F.coalesce(F.getbit("__bits", "__bit") == 1, F.lit(False))
+        return placed.join(words, _PLACE, "left").join(old, "key", "left").withColumn("__seen", seen)
+
+    def take(self, delivery: DataFrame, key: str, arrival: str, tie_break: Sequence[str] = (), delivery_id: str | None = None) -> DataFrame:
         """Takes one delivery in and returns its rows to be kept: `delivery`'s columns, __copies (in this
-        delivery), __change (`new` or `replace`) and __replaces. The state is published before it returns."""
-        best = first_copies(delivery, key, arrival, tie_break)
-        keyed = self._encoded(best.where(F.col(key).isNotNull()), key, arrival)
-        fresh = ~F.col("__seen")
-        earlier = F.col("__seen") & (F.col(arrival).isNotNull() & (F.col("__old").isNull() | (F.col(arrival) < F.col("__old"))))
-        new, path = self.version + 1, f"{self.root}/{self.version + 1}"
-        columns = [*delivery.columns, "__copies"]  # all other columns of the plan begin with two underscores
-        keyed.where(fresh | earlier).select(
-            *columns, F.col("__shard").alias("__shard"), "__code", F.when(fresh, "new").otherwise("replace").alias("__change"), F.when(~fresh, F.col("__old")).alias("__replaces")
-        ).write.mode("overwrite").parquet(f"{path}/kept")
-        kept = self.spark.read.parquet(f"{path}/kept")
-        kept.select(F.col("__shard").alias("shard"), F.col(key).alias("key"), F.col("__code").alias("code"), F.col(arrival).alias("kept")).write.mode("overwrite").parquet(f"{path}/dictionary")
-        bits = kept.groupBy(F.col("__shard").alias("shard"), F.floor(F.col("__code") / BITS).alias("block")).agg(F.bitmap_construct_agg(F.pmod("__code", F.lit(BITS))).alias("bits"))
-        before = self.bitmaps()
-        if before is not None:
-            bits = before.unionByName(bits).groupBy("shard", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
-        bits.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/bitmaps")
-        self.store.publish("CURRENT", str(new))
-        bare = best.where(F.col(key).isNull()).select(*columns, F.lit("new").alias("__change"), F.lit(None).cast("timestamp").alias("__replaces"))
-        return kept.select(*columns, "__change", "__replaces").unionByName(bare)
+        delivery), __change (`new` or `replace`) and __replaces. The state is published before it returns.
+        A delivery_id that was taken in before gives the same rows again and changes nothing."""
+        state = self._state()
+        if delivery_id is not None and delivery_id in state["deliveries"]:
+            return self._kept(state, [state["deliveries"][delivery_id]])
+        version = state["version"] + 1
+        size = Observation()
+        best = first_copies(delivery, key, arrival, tie_break).observe(size, F.count(F.lit(1)).alias("n"))
+        arrivals = self._write(state, "arrivals", best, f"{version}/arrivals")
+        shards = max(1, -(-size.get["n"] // self.per_shard))
+        coded = self._write(state, "coded", self._coded(state, arrivals, key, arrival, version, shards), f"{version}/coded")
+        state |= {"version": version, "dictionary": [*state["dictionary"], f"{version}/coded"]}
+        self._publish(state)
+        earlier = F.col("arrival").isNotNull() & (F.col("__old").isNull() | (F.col("arrival") < F.col("__old")))
+        change = F.when(~F.col("__seen"), "new").when(earlier, "replace").alias("__change")
+        judged = self._judged(state, coded).select(F.col("key").alias("__key"), change, F.when(F.col("__seen"), F.col("__old")).alias("__replaces"), *[F.col(c).alias(f"__{c}") for c in _PLACE], "__bit")
+        rows = arrivals.where(F.col(key).isNotNull()).join(judged.where("__change IS NOT NULL"), F.col(key) == F.col("__key")).drop("__key")
+        bare = arrivals.where(F.col(key).isNull()).withColumns({"__change": F.lit("new")})
+        kept = self._write(state, "kept", rows.unionByName(bare, allowMissingColumns=True), f"{version}/kept")
+        fresh = kept.where((F.col("__change") == "new") & F.col("__word").isNotNull())
+        bit = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__bit"))).alias("bits")
+        self._write(state, "bits", fresh.groupBy(*[F.col(f"__{c}").alias(c) for c in _PLACE]).agg(bit), f"{version}/bits")
+        state["bits"].append(f"{version}/bits")
+        state["deliveries"][delivery_id if delivery_id is not None else f"#{version}"] = version
+        self._publish(state)
+        if len(state["bits"]) > COMPACT:
+            self.compact()
+        return self._kept(state, [version])
+
+    def _kept(self, state: dict, versions: Sequence[int]) -> DataFrame | None:
+        rows = self._read(state, "kept", [f"{v}/kept" for v in versions])
+        return None if rows is None else rows.drop(*[f"__{c}" for c in _PLACE], "__bit")
+
+    def compact(self) -> None:
+        """Merges the deltas. Codes of a delivery that was not published stay as they are until its rerun."""
+        state = self._state()
+        done, name = self._done(state), f"merged-{state['version']}"
+        old = [p for p in state["dictionary"] if p.split("/")[0] in done]
+        rows = self._read(state, "coded", old)
+        if rows is None:
+            return
+        order = rows.columns
+        self._write(state, "coded", self._merged(rows).withColumn("fresh", F.lit(True)).select(order), f"{name}/coded")
+        bits = self._read(state, "bits", state["bits"])
+        self._write(state, "bits", bits.groupBy(*_PLACE).agg(F.bit_or("bits").alias("bits")), f"{name}/bits")
+        state |= {"dictionary": [f"{name}/coded", *[p for p in state["dictionary"] if p not in old]], "bits": [f"{name}/bits"]}
+        self._publish(state)
+
+    def view(self, key: str, arrival: str) -> DataFrame | None:
+        """Every delivery's kept rows, replaced ones left out: one row per identifier, __copies counting
+        those of all deliveries."""
+        state = self._state()
+        rows = self._kept(state, list(state["deliveries"].values()))
+        if rows is None:
+            return None
+        gone = rows.where(F.col("__change") == "replace").select(F.col(key).alias("__k"), F.col("__replaces").alias("__r"))
+        left = rows.join(gone, (F.col(key) == F.col("__k")) & F.col(arrival).eqNullSafe(F.col("__r")), "left_anti").drop("__copies", "__change", "__replaces")
+        many = self.dictionary().where("copies > 1").select(F.col("key").alias("__k"), F.col("copies").alias("__n"))
+        return left.join(many, F.col(key) == F.col("__k"), "left").withColumn("__copies", F.coalesce("__n", F.lit(1).cast("long"))).drop("__k", "__n")
 
     def seen_count(self) -> int:
         """How many identifiers have been seen: the set bits."""
-        b = self.bitmaps()
-        return 0 if b is None else b.agg(F.sum(F.bitmap_count("bits"))).first()[0] or 0
+        state = self._state()
+        bits = self._read(state, "bits", state["bits"])
+        return 0 if bits is None else bits.groupBy(*_PLACE).agg(F.bit_or("bits").alias("b")).agg(F.sum(F.bit_count("b"))).first()[0] or 0
+
+
+def replay(store: SeenStore, rows: DataFrame, by: str, deliveries: int, key: str, arrival: str, tie_break: Sequence[str] = ()) -> SeenStore:
+    """Takes rows in as `deliveries` deliveries, equal ranges of the whole-number column `by` in rising order;
+    rows without it come with the first. The column isn't part of the message unless it breaks ties."""
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    at = [] if low is None else [low + (high + 1 - low) * i // deliveries for i in range(1, deliveries)]
+    edges = [None, *sorted(set(at)), None]
+    columns = [c for c in rows.columns if c != by or by in tie_break]
+    for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        bounds = [F.col(by) >= a] * (a is not None) + [F.col(by) < b] * (b is not None)
+        part = reduce(lambda x, y: x & y, bounds, F.lit(True))
+        store.take(rows.where(part if a is not None else part | F.col(by).isNull()).select(*columns), key, arrival, tie_break, f"{by} {i}")
+    return store

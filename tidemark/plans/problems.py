@@ -149,11 +149,19 @@ def p5_vectors(spark: SparkSession, d: str) -> DataFrame:
     return vectors.select("card_id", F.array_join(F.transform("vector", item), ",").alias("vector"))
 
 
+#: Deliveries that the table is taken in by, ranges of batches.
+DELIVERIES = 10
+
+
+def _seen(spark: SparkSession, rows: DataFrame, order: list[str] = ()) -> DataFrame:
+    store = dedupe.SeenStore(spark, scratch_path(spark, "seen"))
+    return dedupe.replay(store, rows, "batch_no", DELIVERIES, "event_id", "decided_at", order).view("event_id", "decided_at")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "staged_decisions").select("event_id", "decided_at")
-    kept = dedupe.SeenStore(spark, scratch_path(spark, "seen")).take(rows, "event_id", "decided_at")
+    rows = table(spark, d, "staged_decisions").select("event_id", "decided_at", "batch_no")
     repeated = (F.col("__copies") > 1) & F.col("event_id").isNotNull()
-    return kept.where(repeated).select("event_id", F.unix_micros("decided_at").alias("kept_us"))
+    return _seen(spark, rows).where(repeated).select("event_id", F.unix_micros("decided_at").alias("kept_us"))
 
 
 P6_ORDER = ["batch_no", "champion_version", "champion_score", "shadow_version", "shadow_score", "shadow_action"]
@@ -161,8 +169,7 @@ P6_ORDER = ["batch_no", "champion_version", "champion_score", "shadow_version",
 
 def p6_kept(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "staged_decisions").select("event_id", "card_id", "event_time", "amount_cents", "decided_at", "action", "rule", *P6_ORDER)
-    kept = dedupe.SeenStore(spark, scratch_path(spark, "seen")).take(rows, "event_id", "decided_at", P6_ORDER)
-    return kept.select("event_id", "card_id", "amount_cents", "action", "rule", "batch_no", "champion_version", F.round("champion_score", 9).alias("champion_score"), F.unix_micros("decided_at").alias("kept_us"))
+    return _seen(spark, rows, P6_ORDER).select("event_id", "card_id", "amount_cents", "action", "rule", "batch_no", "champion_version", F.round("champion_score", 9).alias("champion_score"), F.unix_micros("decided_at").alias("kept_us"))
 
 
 _DECISIONS = """
