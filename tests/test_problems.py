@@ -161,33 +161,52 @@ def events(spark, seed=6):
     return [(rnd.choice(["x", "y", None]), rnd.choice(["p", "q", "", None]), rnd.choice([at(minutes=rnd.randrange(500)), None]), rnd.choice([None, 3, 4]), 0, "clash") for _ in range(120)]
 
 
+def vector_store(spark, *batches):
+    store = entity_vectors.VectorStore(spark, scratch_path(spark, "vectors"), "card", "kind", "t", "cents")
+    for i, rows in enumerate(batches):
+        store.add(i, spark.createDataFrame(rows, EV))
+    return store
+
+
+def named(store, before=None):
+    types = store.types
+    return {(r.card, types[r.idx]): (r.n, r.total, r.last) for r in entity_vectors.vector_entries(store.merged(before), "card").collect()}
+
+
 def test_vectors_merge_and_expand(spark):
     rows = events(spark)
-    df = spark.createDataFrame(rows, EV)
-    types = entity_vectors.type_index(df, "kind")
-    assert types == sorted({r[1] if r[1] is not None else entity_vectors.NULL_TYPE for r in rows}, key=str.encode)
-    make = lambda x: entity_vectors.entity_vectors(x, "card", "kind", "t", "cents", types)
-    whole = {r.card: r.vector for r in make(df).collect()}
-    parts = [make(spark.createDataFrame(rows[i::3], EV)) for i in range(3)]
-    merged = {r.card: r.vector for r in entity_vectors.merge_vectors("card", *parts).collect()}
-    assert whole == merged
-    wide = {r.card: r for r in entity_vectors.expand(make(df), "card", types, F.lit(at(days=1))).collect()}
+    whole, parts = vector_store(spark, rows), vector_store(spark, rows[::3], rows[1::3], rows[2::3])
+    parts.add(1, spark.createDataFrame(rows, EV))  # taken in before: changes nothing
+    assert whole.types == sorted({r[1] if r[1] is not None else entity_vectors.NULL_TYPE for r in rows if r[2] is not None}, key=str.encode)
+    assert named(whole) == named(parts)
+    wide = {r.card: r for r in entity_vectors.expand(whole.merged(), "card", whole.types, F.lit(at(days=1))).collect()}
     for card in ("x", "y", None):
-        for t in types:
+        for t in whole.types:
             own = [r for r in rows if r[0] == card and (r[1] if r[1] is not None else entity_vectors.NULL_TYPE) == t and r[2] is not None]
             assert wide[card][f"n_{t}"] == len(own) and wide[card][f"total_{t}"] == sum(r[3] or 0 for r in own)
             idle = wide[card][f"idle_us_{t}"]
             assert idle == (round((at(days=1) - max(r[2] for r in own)).total_seconds() * 1e6) if own else None)
 
 
+def test_a_type_of_the_second_day_moves_no_index(spark):
+    store = vector_store(spark, [("x", "m", at(hours=1), 5, 0, ""), ("x", "z", at(hours=2), 1, 0, "")])
+    first = store.types
+    store.add(1, spark.createDataFrame([("x", "a", at(days=1), 7, 0, ""), ("x", "m", at(days=1, hours=3), 5, 0, "")], EV))
+    assert first == ["m", "z"] and store.types == ["m", "z", "a"]
+    assert {k: v[:2] for k, v in named(store).items()} == {("x", "m"): (2, 10), ("x", "z"): (1, 1), ("x", "a"): (1, 7)}
+    assert {k: v[:2] for k, v in named(store, "2027-09-02").items()} == {("x", "m"): (1, 5), ("x", "z"): (1, 1)}
+    wide = entity_vectors.expand(store.merged(), "card", [*store.types, "never"], F.lit(at(days=2))).first()
+    assert (wide.n_m, wide.n_z, wide.n_a, wide.n_never, wide.idle_us_never) == (2, 1, 1, 0, None)
+
+
 def test_vectors_refuse_an_unknown_type_and_take_nothing(spark):
-    df = spark.createDataFrame(events(spark), EV)
+    store = vector_store(spark, events(spark))
+    entries = spark.createDataFrame([("x", "unheard of", 1, 1, at())], "card string, name string, n bigint, total bigint, last timestamp")
     with pytest.raises(Exception, match="type without an index"):
-        entity_vectors.entity_vectors(df, "card", "kind", "t", "cents", ["p"]).collect()
-    empty = df.where("false")
-    assert entity_vectors.type_index(empty, "kind") == []
-    vectors = entity_vectors.entity_vectors(empty, "card", "kind", "t", "cents", [])
-    assert vectors.count() == 0 and entity_vectors.expand(vectors, "card", [], F.current_timestamp()).columns == ["card"]
+        entity_vectors.entity_vectors(entries, store.dictionary(), ["card"]).collect()
+    empty = vector_store(spark, [])
+    assert empty.types == [] and empty.merged().count() == 0
+    assert entity_vectors.expand(empty.merged(), "card", [], F.current_timestamp()).columns == ["card"]
 
 
 MSG = "id string, a timestamp, x int, shard int, key string"

@@ -123,15 +123,17 @@ def p4_rolling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str, known: list[str] = ()) -> tuple[DataFrame, list[str]]:
-    types = sorted({*entity_vectors.type_index(table(spark, d, "staged_decisions"), "rule"), *known}, key=lambda s: s.encode())
-    events = staged_events(spark, d, "card_id", "event_time", "amount_cents", "rule").where(F.col("event_time") < F.lit(AS_OF).cast("timestamp"))
-    return entity_vectors.entity_vectors(events, "card_id", "rule", "event_time", "amount_cents", types), types
+    """Each card's vector as AS_OF began, merged from the stored states of its days, and the types."""
+    store = entity_vectors.VectorStore(spark, scratch_path(spark, "vectors"), "card_id", "rule", "event_time", "amount_cents")
+    store.learn(known)
+    store.add(0, staged_events(spark, d, "card_id", "event_time", "amount_cents", "rule"))
+    return store.merged(AS_OF[:10]), store.types
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     vectors, types = _vectors(spark, d)
     names = F.array(*[F.lit(t) for t in types]) if types else F.array().cast("array<string>")
-    quiet = F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros("last") > 21 * 86_400_000_000
+    quiet = F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros("last") > 21 * DAY
     case = (F.col("n") >= 3) & (F.col("total") >= 20_000) & quiet
     return entity_vectors.vector_entries(vectors, "card_id").where(case).select("card_id", F.get(names, F.col("idx")).alias("rule"))
 
