@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pytest
 import regex
@@ -26,8 +27,9 @@ def test_held_out_accuracy(fitted):
     _, table = fitted
     d = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").head(1500)
     right = wrong = 0
-    for text in d.text.dropna():
-        for a, b, k, _ in lang.classify(text, table, P):
+    texts = list(d.text.dropna())
+    for text, found in zip(texts, lang.classify(texts, table, P), strict=True):
+        for a, b, k, _ in found:
             w = regex.findall(r"\p{L}+", text[a:b].lower())
             n = {c: sum(x in s for x in w) for c, s in STOP.items()}
             best = max(n.values())
@@ -61,11 +63,46 @@ def test_labels(spark):
     assert [r[0] for r in df.select(lang.label_code(F.col("l"))).collect()] == ["en", "en", "en", "pt", "en", "de", "de", "nl", None, None, None, None, None, None, None, "fr"]
 
 
+def test_tables_give_what_plain_bundling_gives(fitted):
+    """Every counted sentence's vector made, and compared with the prototypes by its true length."""
+    proto, table = fitted
+    space = lang.Space.of(P.dim, P.seed)
+    texts = [s for t in pd.read_parquet(f"{SF}/documents.parquet").text.dropna() for _, _, s in lang.sentences(t) if lang.words(s) >= P.least_words]
+    texts += ["zq xw vv kk qq jj", "Ночью рыбаки вернулись домой с пустыми сетями", "", "а" * 30, "e " * 9000]
+    best, confidence = lang.judge(texts, table, P)
+    for t, b, c in zip(texts, best, confidence, strict=True):
+        codes, _ = lang.grams([t])
+        vector = space.bundle(codes)
+        cos = proto.astype(float) @ vector / max(np.linalg.norm(vector), 1)
+        top = np.sort(cos)
+        if len(codes) and top[-1] >= P.least_cosine:
+            assert b == cos.argmax() and abs(c - (0.5 + 0.5 * min(1, (top[-1] - top[-2]) / top[-1]))) < 1e-4
+        else:
+            assert (b, c) == (-1, 0)
+
+
+def spelt(text):
+    return lang.grams([text])[0].tolist()
+
+
 def test_letters_and_words():
-    assert lang.letters("Ça—va?") == lang.letters("ca va") == lang.letters("ÇA  VA")
+    assert spelt("Ça—va?") == spelt("ca va") == spelt("ÇA  VA") == spelt(" c\u0327a, va ")
+    assert spelt("Дом") == spelt("дом") != spelt("дам") and spelt("--- 12") == [] and len(spelt("ab")) == 2
+    codes, owners = lang.grams(["ab", "", " - ", "c d"])
+    assert owners.tolist() == [0, 0, 3, 3, 3] and codes.tolist() == spelt("ab") + spelt("c d")
     assert lang.words("one two three four five six") == 6 and lang.words("ee4c358f c95fb6f3 one") == 0
 
 
+def test_a_rare_language_has_its_share_of_the_sample(spark):
+    en = ["The cardholder could not confirm the travel booking despite the earlier approval.", "Nobody on the team documented the three declined payments until further notice."]
+    de = ["Der Karteninhaber konnte die Reisebuchung trotz der früheren Freigabe nicht bestätigen.", "Niemand im Team dokumentierte die drei abgelehnten Zahlungen bis auf Weiteres."]
+    rows = [(i, en[i % 2], "en") for i in range(3000)] + [(3000 + i, de[i % 2], "de") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    proto = lang.fit(df, p=lang.Params(sample_docs=60))
+    got = {r.doc_id: r.lang for r in lang.segments(df, proto).collect()}
+    assert got[0] == got[1] == "en" and got[3000] == got[3001] == "de"
+
+
 def test_no_training_rows(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     proto = lang.fit(none, p=P)
