@@ -1,15 +1,18 @@
 """Token ids of every text by a public byte-level BPE tokenizer, sharing work between documents.
 
 Texts are cut where a rolling hash of the last 32 characters says so, so equal passages are cut alike
-wherever they stand. Each distinct chunk is encoded once. The chunks' ids are then put together; where
-a token might cross a join, the text around it is encoded anew, outwards until both sides agree with
-the chunks' own tokens, so that the result is exactly that of encoding the whole text.
+wherever they stand. Chunks are counted over the whole corpus; those that recur are encoded once, into a
+dictionary, and looked up wherever they stand. The others stay with their document and are encoded in place,
+neighbours together. The ids are then put together; where a token might cross a join with a looked-up
+chunk, the text around it is encoded anew, outwards until both sides agree with the chunks' own tokens, so
+that the result is exactly that of encoding the whole text.
 
 A cut between a character and a following space can't be crossed by a token (the tokenizer's pattern
 takes white space only at a token's start), so such joins need no repair and are preferred.
 
-Chunks that make up more than a thousandth of all are fewer than a thousand, so their ids are broadcast
-(if their measured size allows); the others meet by a shuffle in which no key holds more than that share.
+The dictionary goes to every task, so its size is bounded: the chunks that save most, DICTIONARY_CHUNKS and
+DICTIONARY_CHARS at most; a recurring chunk beyond that is encoded in place, with the same result. No text
+is shuffled but the dictionary's; the counts are 12 bytes a distinct chunk and batch.
 
 Defined cases: a null or empty text has the empty list; special tokens' strings are ordinary text;
 repeated rows give repeated results; lone surrogates can't occur in Spark's strings; an empty table gives no
@@ -19,13 +22,14 @@ rows. Columns other than the two named are ignored.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.session import written
 
@@ -33,8 +37,10 @@ WINDOW = 32
 MIN_CHUNK, MAX_CHUNK = 24, 4096
 #: A hash hit in so many ends a chunk: at a space, or anywhere.
 AT_SPACE, ANYWHERE = 32, 1024
-#: Chunks above this share of all are joined by broadcast, if their ids number at most HOT_IDS in all.
-HOT_SHARE, HOT_IDS = 1000, 4_000_000
+#: Bounds of the dictionary of recurring chunks.
+DICTIONARY_CHUNKS, DICTIONARY_CHARS = 65_536, 4_000_000
+#: Characters that are cut together.
+_BLOCK = 1_000_000
 #: Fixed value: the tokenizer's own split pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -54,10 +60,12 @@ def encoder(ranks_path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """For each position i > 0 the hash of the WINDOW characters before i (0 where there are fewer), and
-    whether a plain space follows a character that isn't white space there."""
-    u = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+
+
+def _rolling(u: np.ndarray) -> np.ndarray:
+    """For each position the hash of the WINDOW characters before it."""
     h = (u + np.uint32(0x9E3779B9)) * np.uint32(0x85EBCA6B)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0xC2B2AE35)
@@ -69,35 +77,48 @@ def _hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
         h = h + shifted
         step *= 2
     h = (h * np.uint32(0x9E3779B1)) >> np.uint32(12)
-    before = np.zeros(len(u) + 1, np.uint32)
-    before[1:] = h
-    before[:WINDOW] = 1
-    space = u == 32
+    return np.concatenate((np.zeros(1, np.uint32), h[:-1])) if len(h) else h
+
+
+def _clean(u: np.ndarray) -> np.ndarray:
+    """Whether a plain space stands at a position, after a character that isn't white space."""
     white = (u <= 32) | (u == 0x7F) | ((u >= 0x80) & (u <= 0xA0)) | ((u >= 0x1680) & (u <= 0x205F) & ((u == 0x1680) | (u >= 0x2000))) | (u == 0x3000)
-    clean = np.zeros(len(u) + 1, bool)
-    clean[1:-1] = space[1:] & ~white[:-1]
-    return before, clean
-
-
-def cuts(text: str) -> tuple[list[int], np.ndarray]:
-    """The ends of the chunks, the last one len(text), and the positions that no token crosses."""
-    n = len(text)
-    if n <= MIN_CHUNK * 2:
-        _, clean = _hashes(text) if n else (None, np.zeros(1, bool))
-        return [n], clean
-    before, clean = _hashes(text)
-    hit = ((before % AT_SPACE == 0) & clean) | (before % ANYWHERE == 0)
-    out, last = [], 0
-    for i in (*np.flatnonzero(hit).tolist(), n):
-        while i - last > MAX_CHUNK:
-            last += MAX_CHUNK
-            out.append(last)
-        if i - last >= MIN_CHUNK and i < n:
-            out.append(i)
-            last = i
-    if last < n:
-        out.append(n)
-    return out, clean
+    out = np.zeros(len(u), bool)
+    out[1:] = (u[1:] == 32) & ~white[:-1]
+    return out
+
+
+def cuts(texts: Sequence[str]) -> Iterator[tuple[int, list[int]]]:
+    """(number of the text, ends of its chunks, the last one its length), for texts that aren't empty."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= _BLOCK or i == len(texts) - 1:
+            yield from _cut_block(texts, first, i + 1)
+            first, size = i + 1, 0
+
+
+def _cut_block(texts: Sequence[str], first: int, last: int) -> Iterator[tuple[int, list[int]]]:
+    u = _points("".join(texts[first:last]))
+    h = _rolling(u)
+    hits = np.flatnonzero(((h % AT_SPACE == 0) & _clean(u)) | (h % ANYWHERE == 0))
+    start = 0
+    for i in range(first, last):
+        n = len(texts[i])
+        if not n:
+            continue
+        own, ends, at = hits[np.searchsorted(hits, start + WINDOW) : np.searchsorted(hits, start + n)], [], 0
+        for p in (*(own - start).tolist(), n) if n > 2 * MIN_CHUNK else (n,):
+            while p - at > MAX_CHUNK:
+                at += MAX_CHUNK
+                ends.append(at)
+            if p - at >= MIN_CHUNK and p < n:
+                ends.append(p)
+                at = p
+        if at < n:
+            ends.append(n)
+        yield i, ends
+        start += n
 
 
 def joined(parts: list[tuple[str, list[int]]], encode) -> list[int]:
@@ -105,8 +126,7 @@ def joined(parts: list[tuple[str, list[int]]], encode) -> list[int]:
     out: list[int] = []
     carry = None  # text from a sure boundary on whose ids are still to be found
     for k, (chunk, ids) in enumerate(parts):
-        _, clean = _hashes(chunk) if chunk else (None, np.zeros(1, bool))
-        inner, lo = np.flatnonzero(clean), 0
+        inner, lo = np.flatnonzero(_clean(_points(chunk))), 0
         if carry is not None:
             if not len(inner):
                 carry += chunk
@@ -130,90 +150,96 @@ def _sure(left: str, right: str) -> bool:
     return right[:1] == " " and bool(left) and not left[-1].isspace() and left[-1] > " "
 
 
-def chunk_rows(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(row, doc_id, seq, chunk, sure): a text's chunks in order. sure: no token crosses either join."""
+def assembled(text: str, ends: Sequence[int], known: dict[str, list[int]], encode) -> list[int]:
+    """The text's ids: known chunks from the dictionary, stretches of others encoded in place, joins repaired."""
+    if not known:
+        return encode(text)
+    parts: list[tuple[str, list[int] | None]] = []
+    at = open_from = 0
+    for end in ends:
+        ids = known.get(text[at:end])
+        if ids is not None:
+            if open_from < at:
+                parts.append((text[open_from:at], None))
+            parts.append((text[at:end], ids))
+            open_from = end
+        at = end
+    if not parts:
+        return encode(text)
+    if open_from < len(text):
+        parts.append((text[open_from:], None))
+    out: list[int] = []
+    group: list[tuple[str, list[int]]] = []
+    for k, (piece, ids) in enumerate(parts):
+        group.append((piece, encode(piece) if ids is None else ids))
+        if k == len(parts) - 1 or _sure(piece, parts[k + 1][0]):
+            out += group[0][1] if len(group) == 1 else joined(group, encode)
+            group = []
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows, size = [], 0
-            for r, i, t in zip(pdf["__row"], pdf["__id"], pdf["__text"], strict=True):
-                t = t if isinstance(t, str) else ""
-                ends, _ = cuts(t)
-                pieces = [t[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-                sure = [True, *[_sure(a, b) for a, b in zip(pieces[:-1], pieces[1:], strict=True)], True]
-                rows += [(r, i, k, c, sure[k] and sure[k + 1]) for k, c in enumerate(pieces)]
-                size += len(t)
-                if size > 4_000_000:
-                    yield _frame(rows)
-                    rows, size = [], 0
-            yield _frame(rows)
 
-    chosen = documents.select(F.monotonically_increasing_id().alias("__row"), F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"))
-    return chosen.mapInPandas(run, "row long, doc_id long, seq int, chunk string, sure boolean")
+_POWERS = np.random.default_rng(20270901).integers(0, 2**64, MAX_CHUNK + 1, dtype=np.uint64)
 
 
-def _frame(rows: list) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["row", "doc_id", "seq", "chunk", "sure"]).astype({"doc_id": "Int64"})
+def _chunk_counts(texts: Sequence[str]) -> tuple[list[int], list[int], list[str]]:
+    """(hashes, counts, texts) of the distinct chunks of some texts."""
+    pieces = [t[a:b] for i, ends in cuts(texts) for t in (texts[i],) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    found: dict[str, int] = {}
+    for p in pieces:
+        found[p] = found.get(p, 0) + 1
+    kinds, hashes = list(found), []
+    for i in range(0, len(kinds), 4096):
+        some = kinds[i : i + 4096]
+        lengths = np.fromiter(map(len, some), int, len(some))
+        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        u = _points("".join(some)).astype(np.uint64) + np.uint64(1)
+        place = np.arange(len(u)) - np.repeat(starts, lengths)
+        hashes += np.add.reduceat(u * _POWERS[place], starts).view(np.int64).tolist()
+    return hashes, list(found.values()), kinds
 
 
-def encoded(texts: DataFrame, column: str, ranks_path: str) -> DataFrame:
-    """texts with `ids` of a string column."""
+def chunk_counts(documents: DataFrame, text: str) -> DataFrame:
+    """(hash, n, chunk): the distinct chunks of each batch of texts and how often they stand in it."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoder(ranks_path)
-        for s in batches:
-            yield pd.Series([enc.encode_ordinary(t) for t in s], index=s.index, dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, counts, kinds = _chunk_counts([t for t in batch.column(0).to_pylist() if t])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(counts, pa.int32()), pa.array(kinds, pa.string())], ["hash", "n", "chunk"])
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return texts.withColumn("ids", F.pandas_udf(run, "array<int>")(column))
+    return documents.select(text).where(F.length(text) > 0).mapInArrow(run, "hash long, n int, chunk string")
 
 
-def token_ids(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_path: str | None = None) -> DataFrame:
-    """(doc_id, ids) of every row."""
-    path = ranks_path or default_ranks()
-    # Written once: the chunks are read three times, and rows keep their numbers if an executor is lost.
-    chunks = written(chunk_rows(documents, doc_id, text).withColumn("key", F.unhex(F.sha2("chunk", 256))), "chunks")
-    distinct = chunks.groupBy("key").agg(F.first("chunk").alias("chunk"), F.count(F.lit(1)).alias("n"))
-    dictionary = written(encoded(distinct, "chunk", path).select("key", "ids", "n"), "dictionary")
-    total = chunks.count()
-    is_hot = F.col("n") * HOT_SHARE > total
-    refs = chunks.select("row", "doc_id", "seq", "key", F.when(~F.col("sure"), F.col("chunk")).alias("chunk"))
-    size = dictionary.where(is_hot).agg(F.coalesce(F.sum(F.size("ids") + 20), F.lit(0))).first()[0]
-    if 0 < size <= HOT_IDS:
-        hot = dictionary.where(is_hot).select(F.col("key").alias("hot_key"), F.col("ids").alias("hot_ids"))
-        split = refs.join(F.broadcast(hot), F.col("key") == F.col("hot_key"), "left")
-        rest = split.where(F.col("hot_key").isNull()).drop("hot_key", "hot_ids").join(dictionary.where(~is_hot).select("key", "ids"), "key")
-        parts = split.where(F.col("hot_key").isNotNull()).select("row", "doc_id", "seq", "chunk", F.col("hot_ids").alias("ids")).unionByName(rest.select("row", "doc_id", "seq", "chunk", "ids"))
-    else:
-        parts = refs.join(dictionary.select("key", "ids"), "key").select("row", "doc_id", "seq", "chunk", "ids")
-    whole = parts.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", "chunk", "ids"))).alias("parts"), F.bool_or(F.col("chunk").isNotNull()).alias("open")
-    )
-    straight = F.flatten(F.transform("parts", lambda p: p["ids"]))
-    # Only documents with an unsure join go through Python; a sure neighbour's text isn't needed there.
-    repaired = _repair(path)(F.when(F.col("open"), F.col("parts")))
-    return whole.select("doc_id", F.when(F.col("open"), repaired).otherwise(straight).alias("ids"))
-
-
-def _repair(ranks_path: str):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def dictionary(documents: DataFrame, text: str, ranks_path: str) -> dict[str, list[int]]:
+    """Recurring chunks and their ids, each encoded once. At most DICTIONARY_CHUNKS chunks of DICTIONARY_CHARS
+    characters in all reach the driver: those that save most, ties going to the smaller hash."""
+    chunks = written(chunk_counts(documents, text), "chunks")
+    n = chunks.groupBy("hash").agg(F.sum("n").alias("n"), F.max(F.length("chunk")).alias("size")).where("n > 1")
+    saves = (F.col("n") - 1) * F.col("size")
+    best = n.orderBy(saves.desc(), "hash").limit(DICTIONARY_CHUNKS).select("hash", F.sum("size").over(W.orderBy(saves.desc(), "hash")).alias("upto"))
+    chosen = best.where(F.col("upto") <= DICTIONARY_CHARS).select("hash")
+    texts = chunks.join(F.broadcast(chosen), "hash").groupBy("hash").agg(F.min("chunk").alias("chunk")).select("chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_path).encode_ordinary
-        for s in batches:
-            yield pd.Series([None if parts is None else _repaired(parts, encode) for parts in s], index=s.index, dtype=object)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(t) for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["chunk", "ids"])
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "array<int>")
+    found = texts.mapInArrow(run, "chunk string, ids array<int>").toArrow()
+    return dict(zip(found.column("chunk").to_pylist(), found.column("ids").to_pylist(), strict=True))
 
 
-def _repaired(parts, encode) -> list[int]:
-    out: list[int] = []
-    group: list[tuple[str, list[int]]] = []
-    for p in parts:
-        ids = list(p["ids"])
-        if p["chunk"] is None:
-            out += joined(group, encode)
-            group = []
-            out += ids
-        else:
-            group.append((p["chunk"], ids))
-    return out + joined(group, encode)
+def token_ids(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks_path: str | None = None) -> DataFrame:
+    """(doc_id, ids) of every row."""
+    path = ranks_path or default_ranks()
+    known = documents.sparkSession.sparkContext.broadcast(dictionary(documents, text, path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path).encode_ordinary
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids: list[list[int]] = [[] for _ in texts]
+            for i, ends in cuts(texts):
+                ids[i] = assembled(texts[i], ends, known.value, encode)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
