@@ -10,9 +10,9 @@ codes without bits, so its rerun keeps their rows; a delivery that was published
 
 Copies are combined before the shuffle, so an identifier with a third of all rows is no hot spot. A delivery
 has as many shards as its size asks for, and identifiers are numbered inside a shard. Looking up a delivery
-reads the dictionary, but moves only what the two share where the delivery is small enough to be broadcast
-(Spark compares sizes); else both sides meet by a shuffle on the identifier. Deltas of the dictionary and
-of the bitmaps are merged every COMPACT deliveries.
+reads the dictionary's narrow columns and lets through a sieve of fixed size, made from the delivery's
+identifiers, what may be in it; only that meets the delivery by a shuffle. Deltas of the dictionary and of the
+bitmaps are merged every COMPACT deliveries.
 
 Defined cases: of several copies the one with the earliest arrival time is kept; ties go to the
 earlier delivery, then to the smallest remaining columns in the order given, so the result never depends on
@@ -27,7 +27,7 @@ import json
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
@@ -37,6 +37,8 @@ from tidemark.session import FileStore
 
 #: Deltas that make a merge worth while, and identifiers of a delivery that one shard numbers.
 COMPACT, PER_SHARD = 8, 500_000
+#: Bits of the sieve: 512 KB whatever the delivery.
+SIEVE = 1 << 22
 _PLACE = ["shard", "version", "word"]
 
 
@@ -53,9 +55,10 @@ def first_copies(rows: DataFrame, key: str, arrival: str, tie_break: Sequence[st
 class SeenStore:
     """The dictionary and the seen-bitmaps, in numbered versions under `root`.
 
-    Version v holds `arrivals` (a delivery's first copies), `coded` (key, arrival, copies, shard, version, code,
-    fresh: this delivery's identifiers with their codes), `kept` (its rows kept) and `bits` (shard, version, word,
-    bits: what it has seen first). CURRENT names what counts; it is renamed into place last."""
+    Version v holds `arrivals` (a delivery's first copies), `coded` (those with an identifier, and its __shard,
+    __version and __code; __fresh if the delivery brought it; __old and __before, the arrival kept and the copies
+    taken in until then), `kept` (its rows kept) and `bits` (shard, version, word, bits: what it has seen first).
+    CURRENT names what counts; it is renamed into place last."""
 
     def __init__(self, spark: SparkSession, root: str, per_shard: int = PER_SHARD):
         self.spark, self.store, self.root, self.per_shard = spark, FileStore(spark, root), root.rstrip("/"), per_shard
@@ -76,52 +79,71 @@ class SeenStore:
         state["schemas"][kind] = df.schema.jsonValue()
         return self._read(state, kind, [path])
 
+    def _known(self, state: dict) -> DataFrame | None:
+        """(key, shard, version, code, arrival, copies, before, done): what each delivery said of its identifiers."""
+        done, parts = {str(v) for v in state["deliveries"].values()}, []
+        names = ["shard", "version", "code", "arrival", "copies", "before"]
+        for kind in ("merged", "coded"):
+            for is_done in (True, False):
+                paths = [p for p in state["dictionary"] if p.endswith(kind) and (kind == "merged" or p.split("/")[0] in done) == is_done]
+                rows = self._read(state, kind, paths)
+                if rows is not None:
+                    if kind == "coded":
+                        rows = rows.select(F.col(state["key"]).alias("key"), *[F.col(state["arrival"] if c == "arrival" else f"__{c}").alias(c) for c in names])
+                    parts.append(rows.select("key", *names).withColumn("done", F.lit(is_done)))
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
     def dictionary(self) -> DataFrame | None:
         """(key, shard, version, code, kept, copies) of all deliveries published: kept is the earliest arrival."""
-        state = self._state()
-        rows = self._read(state, "coded", [p for p in state["dictionary"] if p.split("/")[0] in self._done(state)])
-        return None if rows is None else self._merged(rows).withColumnRenamed("arrival", "kept")
-
-    @staticmethod
-    def _done(state: dict) -> set[str]:
-        return {str(v) for v in state["deliveries"].values()} | {p.split("/")[0] for p in state["dictionary"] if p.startswith("merged")}
+        rows = self._known(self._state())
+        return None if rows is None else self._merged(rows.where("done")).withColumnRenamed("arrival", "kept")
 
     @staticmethod
-    def _merged(coded: DataFrame) -> DataFrame:
+    def _merged(known: DataFrame) -> DataFrame:
         """One row per identifier; a copy has the code of the first."""
-        return coded.groupBy("key").agg(
+        return known.groupBy("key").agg(
             F.min("shard").alias("shard"), F.min("version").alias("version"), F.min("code").alias("code"), F.min("arrival").alias("arrival"), F.sum("copies").alias("copies")
         )
 
+    def _sieve(self, keys: DataFrame) -> Column:
+        """A condition on `key` that holds for all of keys and, while they are fewer than SIEVE, for few others."""
+        h = F.pmod(F.xxhash64("key"), F.lit(SIEVE))
+        word, bit = (h / 64).cast("int"), F.pmod(h, F.lit(64)).cast("int")
+        none = self.spark.range(SIEVE // 64).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("b"))
+        some = keys.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
+        words = none.unionByName(some).groupBy("w").agg(F.bit_or("b").alias("b"))
+        bits = words.agg(F.array_sort(F.collect_list(F.struct("w", "b"))).alias("s")).select(F.transform("s", lambda x: x["b"]))
+        return F.getbit(F.get(bits.scalar(), word), bit) == 1
+
     def _coded(self, state: dict, arrivals: DataFrame, key: str, arrival: str, version: int, shards: int) -> DataFrame:
-        """The delivery's identifiers with their codes: known ones have theirs, fresh ones get the next."""
-        own = arrivals.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(arrival).alias("arrival"), F.col("__copies").alias("copies"))
-        known = self._read(state, "coded", state["dictionary"])
-        number = F.row_number().over(W.partitionBy("__s", "fresh").orderBy("key")).cast("long") - 1
-        shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("__s")
+        """The delivery's identified rows with their codes: known identifiers have theirs, fresh ones get the next."""
+        own, known = arrivals.where(F.col(key).isNotNull()), self._known(state)
+        kind = arrivals.schema[arrival].dataType
         if known is None:
-            out = own.select("*", shard, F.lit(None).cast("int").alias("shard"), F.lit(None).cast("int").alias("version"), F.lit(None).cast("long").alias("code"), F.lit(True).alias("fresh"))
+            out = own.withColumns({"__shard": F.lit(None).cast("int"), "__version": F.lit(None).cast("int"), "__code": F.lit(None).cast("long"), "__old": F.lit(None).cast(kind), "__before": F.lit(0).cast("long")})
         else:
-            # The delivery's identifiers are the side that may be broadcast; what both share is as small.
-            shared = known.select("key", "shard", "version", "code").join(own.select("key"), "key").groupBy("key").agg(*[F.min(c).alias(c) for c in ("shard", "version", "code")])
-            out = own.join(shared, "key", "left").select("key", "arrival", "copies", shard, "shard", "version", "code", F.col("code").isNull().alias("fresh"))
-        return out.select(
-            "key", "arrival", "copies", F.coalesce("shard", "__s").alias("shard"), F.coalesce("version", F.lit(version)).alias("version"), F.when(F.col("fresh"), number).otherwise(F.col("code")).alias("code"), "fresh"
-        )
+            keys = own.select(F.col(key).alias("key"))
+            shared = known.where(self._sieve(keys)).join(keys, "key").groupBy("key").agg(
+                *[F.min(c).alias(f"__{c}") for c in ("shard", "version", "code")], F.min(F.when(F.col("done"), F.col("arrival"))).alias("__old"), F.sum(F.when(F.col("done"), F.col("copies")).otherwise(0)).alias("__before")
+            )
+            out = own.join(shared.withColumnRenamed("key", "__key"), F.col(key) == F.col("__key"), "left").drop("__key")
+        fresh = out.withColumns({"__fresh": F.col("__code").isNull(), "__s": F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"), "__before": F.coalesce("__before", F.lit(0).cast("long"))})
+        number = F.row_number().over(W.partitionBy("__s", "__fresh").orderBy(key)).cast("long") - 1
+        return fresh.withColumns({
+            "__code": F.when(F.col("__fresh"), number).otherwise(F.col("__code")), "__shard": F.coalesce("__shard", "__s"), "__version": F.coalesce("__version", F.lit(version))
+        }).drop("__s")
 
     def _judged(self, state: dict, coded: DataFrame) -> DataFrame:
-        """coded, with __seen (each code's bit) and __old, the arrival kept so far of a seen identifier."""
-        placed = coded.withColumns({"word": F.expr("code div 64"), "__bit": F.pmod("code", F.lit(64)).cast("int")})
+        """coded, with __word, __bit and __seen, whether the code's bit is set."""
+        placed = coded.withColumns({"__word": F.expr("__code div 64"), "__bit": F.pmod("__code", F.lit(64)).cast("int")})
         bits = self._read(state, "bits", state["bits"])
         if bits is None:
-            return placed.withColumns({"__seen": F.lit(False), "__old": F.lit(None).cast(coded.schema["arrival"].dataType)})
-        again = coded.where("NOT fresh")
-        touched = again.select("shard", "version", F.expr("code div 64").alias("word")).distinct()
-        words = bits.join(touched, _PLACE, "left_semi").groupBy(*_PLACE).agg(F.bit_or("bits").alias("__bits"))
-        done = self._read(state, "coded", [p for p in state["dictionary"] if p.split("/")[0] in self._done(state)])
-        old = done.select("key", F.col("arrival").alias("__a")).join(again.select("key"), "key").groupBy("key").agg(F.min("__a").alias("__old"))
-        seen = F.coalesce(F.getbit("__bits", "__bit") == 1, F.lit(False))
-        return placed.join(words, _PLACE, "left").join(old, "key", "left").withColumn("__seen", seen)
+            return placed.withColumn("__seen", F.lit(False))
+        own = [F.col(f"__{c}").alias(c) for c in _PLACE]
+        touched = placed.where("NOT __fresh").select(*own).distinct()
+        words = bits.join(touched, _PLACE, "left_semi").groupBy(*[F.col(c).alias(f"__{c}") for c in _PLACE]).agg(F.bit_or("bits").alias("__bits"))
+        joined = placed.join(words, [f"__{c}" for c in _PLACE], "left")
+        return joined.withColumn("__seen", F.coalesce(F.getbit("__bits", "__bit") == 1, F.lit(False))).drop("__bits")
 
     def take(self, delivery: DataFrame, key: str, arrival: str, tie_break: Sequence[str] = (), delivery_id: str | None = None) -> DataFrame:
         """Takes one delivery in and returns its rows to be kept: `delivery`'s columns, __copies (in this
@@ -136,14 +158,13 @@ class SeenStore:
         arrivals = self._write(state, "arrivals", best, f"{version}/arrivals")
         shards = max(1, -(-size.get["n"] // self.per_shard))
         coded = self._write(state, "coded", self._coded(state, arrivals, key, arrival, version, shards), f"{version}/coded")
-        state |= {"version": version, "dictionary": [*state["dictionary"], f"{version}/coded"]}
+        state |= {"version": version, "dictionary": [*state["dictionary"], f"{version}/coded"], "key": key, "arrival": arrival}
         self._publish(state)
-        earlier = F.col("arrival").isNotNull() & (F.col("__old").isNull() | (F.col("arrival") < F.col("__old")))
-        change = F.when(~F.col("__seen"), "new").when(earlier, "replace").alias("__change")
-        judged = self._judged(state, coded).select(F.col("key").alias("__key"), change, F.when(F.col("__seen"), F.col("__old")).alias("__replaces"), *[F.col(c).alias(f"__{c}") for c in _PLACE], "__bit")
-        rows = arrivals.where(F.col(key).isNotNull()).join(judged.where("__change IS NOT NULL"), F.col(key) == F.col("__key")).drop("__key")
-        bare = arrivals.where(F.col(key).isNull()).withColumns({"__change": F.lit("new")})
-        kept = self._write(state, "kept", rows.unionByName(bare, allowMissingColumns=True), f"{version}/kept")
+        at, old = F.col(arrival), F.col("__old")
+        change = F.when(~F.col("__seen"), "new").when(at.isNotNull() & (old.isNull() | (at < old)), "replace")
+        judged = self._judged(state, coded).withColumns({"__change": change, "__replaces": F.when(F.col("__seen"), old)}).where("__change IS NOT NULL").drop("__old", "__before", "__fresh", "__seen")
+        bare = arrivals.where(F.col(key).isNull()).withColumn("__change", F.lit("new"))
+        kept = self._write(state, "kept", judged.unionByName(bare, allowMissingColumns=True), f"{version}/kept")
         fresh = kept.where((F.col("__change") == "new") & F.col("__word").isNotNull())
         bit = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__bit"))).alias("bits")
         self._write(state, "bits", fresh.groupBy(*[F.col(f"__{c}").alias(c) for c in _PLACE]).agg(bit), f"{version}/bits")
@@ -156,21 +177,21 @@ class SeenStore:
 
     def _kept(self, state: dict, versions: Sequence[int]) -> DataFrame | None:
         rows = self._read(state, "kept", [f"{v}/kept" for v in versions])
-        return None if rows is None else rows.drop(*[f"__{c}" for c in _PLACE], "__bit")
+        return None if rows is None else rows.drop(*[f"__{c}" for c in _PLACE], "__code", "__bit")
 
     def compact(self) -> None:
         """Merges the deltas. Codes of a delivery that was not published stay as they are until its rerun."""
         state = self._state()
-        done, name = self._done(state), f"merged-{state['version']}"
-        old = [p for p in state["dictionary"] if p.split("/")[0] in done]
-        rows = self._read(state, "coded", old)
-        if rows is None:
+        done, name = {str(v) for v in state["deliveries"].values()}, f"merged-{state['version']}"
+        known = self._known(state)
+        if known is None or not state["bits"]:
             return
-        order = rows.columns
-        self._write(state, "coded", self._merged(rows).withColumn("fresh", F.lit(True)).select(order), f"{name}/coded")
+        merged = self._merged(known.where("done")).withColumn("before", F.lit(0).cast("long"))
+        self._write(state, "merged", merged, f"{name}/merged")
         bits = self._read(state, "bits", state["bits"])
         self._write(state, "bits", bits.groupBy(*_PLACE).agg(F.bit_or("bits").alias("bits")), f"{name}/bits")
-        state |= {"dictionary": [f"{name}/coded", *[p for p in state["dictionary"] if p not in old]], "bits": [f"{name}/bits"]}
+        left = [p for p in state["dictionary"] if not p.endswith("merged") and p.split("/")[0] not in done]
+        state |= {"dictionary": [f"{name}/merged", *left], "bits": [f"{name}/bits"]}
         self._publish(state)
 
     def view(self, key: str, arrival: str) -> DataFrame | None:
@@ -182,7 +203,8 @@ class SeenStore:
             return None
         gone = rows.where(F.col("__change") == "replace").select(F.col(key).alias("__k"), F.col("__replaces").alias("__r"))
         left = rows.join(gone, (F.col(key) == F.col("__k")) & F.col(arrival).eqNullSafe(F.col("__r")), "left_anti").drop("__copies", "__change", "__replaces")
-        many = self.dictionary().where("copies > 1").select(F.col("key").alias("__k"), F.col("copies").alias("__n"))
+        total = F.col("before") + F.col("copies")
+        many = self._known(state).where(F.col("done") & (total > 1)).groupBy(F.col("key").alias("__k")).agg(F.max(total).alias("__n"))
         return left.join(many, F.col(key) == F.col("__k"), "left").withColumn("__copies", F.coalesce("__n", F.lit(1).cast("long"))).drop("__k", "__n")
 
     def seen_count(self) -> int:
