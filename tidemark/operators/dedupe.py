@@ -27,18 +27,17 @@ import json
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
+from tidemark.functions.sieve import may_be_in
 from tidemark.operators.features import first_row
 from tidemark.session import FileStore
 
 #: Deltas that make a merge worth while, and identifiers of a delivery that one shard numbers.
 COMPACT, PER_SHARD = 8, 500_000
-#: Bits of the sieve: 512 KB whatever the delivery.
-SIEVE = 1 << 22
 _PLACE = ["shard", "version", "word"]
 
 
@@ -105,16 +104,6 @@ class SeenStore:
             F.min("shard").alias("shard"), F.min("version").alias("version"), F.min("code").alias("code"), F.min("arrival").alias("arrival"), F.sum("copies").alias("copies")
         )
 
-    def _sieve(self, keys: DataFrame) -> Column:
-        """A condition on `key` that holds for all of keys and, while they are fewer than SIEVE, for few others."""
-        h = F.pmod(F.xxhash64("key"), F.lit(SIEVE))
-        word, bit = (h / 64).cast("int"), F.pmod(h, F.lit(64)).cast("int")
-        none = self.spark.range(SIEVE // 64).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("b"))
-        some = keys.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
-        words = none.unionByName(some).groupBy("w").agg(F.bit_or("b").alias("b"))
-        bits = words.agg(F.array_sort(F.collect_list(F.struct("w", "b"))).alias("s")).select(F.transform("s", lambda x: x["b"]))
-        return F.getbit(F.get(bits.scalar(), word), bit) == 1
-
     def _coded(self, state: dict, arrivals: DataFrame, key: str, arrival: str, version: int, shards: int) -> DataFrame:
         """The delivery's identified rows with their codes: known identifiers have theirs, fresh ones get the next."""
         own, known = arrivals.where(F.col(key).isNotNull()), self._known(state)
@@ -123,7 +112,7 @@ class SeenStore:
             out = own.withColumns({"__shard": F.lit(None).cast("int"), "__version": F.lit(None).cast("int"), "__code": F.lit(None).cast("long"), "__old": F.lit(None).cast(kind), "__before": F.lit(0).cast("long")})
         else:
             keys = own.select(F.col(key).alias("key"))
-            shared = known.where(self._sieve(keys)).join(keys, "key").groupBy("key").agg(
+            shared = known.where(may_be_in(F.col("key"), keys)).join(keys, "key").groupBy("key").agg(
                 *[F.min(c).alias(f"__{c}") for c in ("shard", "version", "code")], F.min(F.when(F.col("done"), F.col("arrival"))).alias("__old"), F.sum(F.when(F.col("done"), F.col("copies")).otherwise(0)).alias("__before")
             )
             out = own.join(shared.withColumnRenamed("key", "__key"), F.col(key) == F.col("__key"), "left").drop("__key")

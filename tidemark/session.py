@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,12 +37,16 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which every executor can reach.
 
-    Only where the session names none (tests on one machine) a temporary folder is set."""
+    Where the session names none, a temporary folder is set, on one machine only: on a cluster it would be
+    another folder on each."""
     context = spark.sparkContext
     there = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not there:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         context.setCheckpointDir(there)
+        atexit.register(shutil.rmtree, there[len("file://"):], ignore_errors=True)
     return there
 
 
