@@ -40,6 +40,23 @@ def test_random_against_brute_force(spark):
     assert got == brute(docs, items, 4)
 
 
+def test_a_stretch_follows_the_item():
+    w = [f"w{i}" for i in range(60)]
+    automaton = k._automaton(((1, " ".join(w)), (2, " ".join(w[:20] * 2))), 13)
+    text = " ".join(w[:13] + w[40:53])
+    assert sorted(k.spans(text, automaton)) == sorted([(1, 0, len(" ".join(w[:13])), 13), (1, text.index("w40"), len(text), 13), (2, 0, len(" ".join(w[:13])), 13)])
+    assert sorted(k.spans(" ".join(w[3:30]), automaton))[0] == (1, 0, len(" ".join(w[3:30])), 27)
+    assert [(i, n) for i, _, _, n in k.spans(" ".join(w[:20] * 2), automaton)] in ([(1, 20), (1, 20), (2, 40)], [(2, 40), (1, 20), (1, 20)])
+
+
+def test_places_where_clusters_and_the_whole_differ():
+    text = "Plain words, then \u1112\u1161\u11ab\u200b\u0301 x\u200d\u0301y and é end"
+    placed = k.placed_words(text)
+    assert [w for w, _, _ in placed] == k.normal_words(text)
+    assert all(0 <= a < b <= len(text) and not text[a:b].strip() == "" for _, a, b in placed) and placed[-1][1:] == (len(text) - 3, len(text))
+    assert all(b - a < 12 for _, a, b in placed)
+
+
 def test_no_items_no_documents(spark):
     none = spark.createDataFrame([], "doc_id bigint, item_id bigint, text string")
     some = spark.createDataFrame([(1, 1, ITEM)], "doc_id bigint, item_id bigint, text string")

@@ -68,3 +68,7 @@ def test_hot_key_and_repeated_rows(spark):
     data = [("hot", "a" if i == 0 else "c", 1.0, 0, "", None) for i in range(2000)] + [(f"k{i}", "c", 1.0, 0, "", None) for i in range(50)]
     n = held(spark, data).where("id = 'hot'").count()
     assert n == (2000 if "hot" in brute(data) else 0)
+
+
+def test_a_tiny_rate_holds_something():
+    assert s.held_buckets(5e-6) == 1 and s.held_buckets(0) == 0 and s.held_buckets(1) == s.BUCKETS

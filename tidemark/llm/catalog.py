@@ -29,13 +29,15 @@ def _minutes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_decisions(spark: SparkSession, d: str) -> DataFrame:
-    base = quantiles.sketch(_minutes(spark, d), ["instance_id", "day"], "decisions")
+    # The days' sketches are stored; all groupings are combined from them, none from the minutes.
+    base = written(quantiles.sketch(_minutes(spark, d), ["instance_id", "day"], "decisions"), "sketches")
     found = quantiles.percentiles(quantiles.merge_sets(base, _SETS, ["instance_id", "day"]), ["instance_id", "day"], QS)
     return found.select("instance_id", "day", "n", *[F.round(q, 4).alias(q) for q in QS], F.lit(quantiles.ALPHA).alias("relative_error"))
 
 
 def p2_latency(spark: SparkSession, d: str) -> DataFrame:
-    """pNN lies between pNN_low and pNN_high, the bounds widened by the sketch's relative error."""
+    """The percentile lies between pNN_low and pNN_high, the bounds widened by the sketch's relative error; pNN is
+    the middle, off by pNN_error at most (infinite, and pNN the lower bound, where the highest bound has no end)."""
     groups = ["instance_id", "day"]
     masses = written(quantiles.histogram_intervals(_minutes(spark, d), groups, "buckets", "decisions"), "intervals")
     out = None
@@ -46,7 +48,8 @@ def p2_latency(spark: SparkSession, d: str) -> DataFrame:
         found = found.select(*groups, F.col("n").alias(f"n_{side}"), *[(F.col(q) * factor).alias(f"{q}_{side}") for q in QS])
         out = found if out is None else out.join(found, groups)
     mid = [F.round(F.when(F.col(f"{q}_high") == float("inf"), F.col(f"{q}_low")).otherwise((F.col(f"{q}_low") + F.col(f"{q}_high")) / 2), 9).alias(q) for q in QS]
-    return out.select(*groups, F.col("n_low").alias("n"), *mid, *[F.round(f"{q}_{s}", 9).alias(f"{q}_{s}") for q in QS for s in ("low", "high")])
+    off = [F.round((F.col(f"{q}_high") - F.col(f"{q}_low")) / F.when(F.col(f"{q}_high") == float("inf"), 1).otherwise(2), 9).alias(f"{q}_error") for q in QS]
+    return out.select(*groups, F.col("n_low").alias("n"), *mid, *off, *[F.round(f"{q}_{s}", 9).alias(f"{q}_{s}") for q in QS for s in ("low", "high")])
 
 
 RATES = {"fraud": 0.5, "acted": 0.1, "legit": 0.05}

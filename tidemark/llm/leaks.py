@@ -30,6 +30,7 @@ _WORDS = regex.compile(r"[\p{L}\p{N}]+")
 _FORMAT = regex.compile(r"\p{Cf}+")
 #: A base character with all that may melt into it under normalisation.
 _CLUSTER = regex.compile(r"\X", regex.V1)
+_PIECE = regex.compile(r"\S+|\s+")
 BLOCK_CHARS = 8_000_000
 
 
@@ -47,42 +48,47 @@ def _plain(text: str) -> str:
 def placed_words(text: str) -> list[tuple[str, int, int]]:
     """normal_words with each word's start and end in the original text.
 
-    The text is normalised cluster by cluster with its origin kept; should that differ from normalising
-    it as a whole, the words keep the places of the whole text, 0 and its length."""
+    The text is normalised piece by piece between white space, which melts into nothing, and in a piece cluster
+    by cluster with the origin kept; a piece of which that makes something else than normalising it as a
+    whole has the place of the whole piece."""
     pieces, origin = [], []
-    for m in _CLUSTER.finditer(text):
-        p = _plain(m.group())
-        pieces.append(p)
-        origin += [(m.start(), m.end())] * len(p)
-    if (flat := "".join(pieces)) != _plain(text):
-        return [(w, 0, len(text)) for w in normal_words(text)]
-    return [(m.group(), origin[m.start()][0], origin[m.end() - 1][1]) for m in _WORDS.finditer(flat)]
+    for m in _PIECE.finditer(text):
+        piece, at = m.group(), m.start()
+        whole = _plain(piece)
+        parts = [(_plain(c.group()), at + c.start(), at + c.end()) for c in _CLUSTER.finditer(piece)]
+        if "".join(x for x, _, _ in parts) != whole:
+            parts = [(whole, at, m.end())]
+        pieces.append(whole)
+        for x, start, end in parts:
+            origin += [(start, end)] * len(x)
+    return [(m.group(), origin[m.start()][0], origin[m.end() - 1][1]) for m in _WORDS.finditer("".join(pieces))]
 
 
 @lru_cache(maxsize=4)
 def _automaton(items: tuple[tuple[int, str], ...], words: int):
-    by_run: dict[str, set[int]] = defaultdict(set)
+    by_run: dict[str, set[tuple[int, int]]] = defaultdict(set)
     for item, text in items:
         w = normal_words(text)
         for i in range(len(w) - words + 1):
-            by_run[f" {' '.join(w[i : i + words])} "].add(item)
+            by_run[f" {' '.join(w[i : i + words])} "].add((item, i))
     if not by_run:
         return None
     a = ahocorasick.Automaton()
-    for run, ids in by_run.items():
-        a.add_word(run, (len(run), tuple(sorted(ids))))
+    for run, places in by_run.items():
+        a.add_word(run, (len(run), tuple(sorted(places))))
     a.make_automaton()
     return a
 
 
-def matches(text: str, automaton) -> list[tuple[int, int, int]]:
-    """(item, start, end) of each match in the normalised text."""
+def matched_items(text: str, automaton) -> set[int]:
+    """The items that share a run of words with the text."""
     flat = f" {' '.join(normal_words(text))} "
-    return [(item, end + 1 - size, end + 1) for end, (size, ids) in automaton.iter(flat) for item in ids]
+    return {item for _, (_, places) in automaton.iter(flat) for item, _ in places}
 
 
 def spans(text: str, automaton) -> list[tuple[int, int, int, int]]:
-    """(item, start, end, words): longest stretches shared with an item, placed in the original text."""
+    """(item, start, end, words): longest stretches of the text that stand in an item, placed in the original
+    text. Runs make one stretch if they follow one another in the item as they do in the text."""
     placed = placed_words(text)
     starts, ends, at = {}, {}, 1
     for k, (w, _, _) in enumerate(placed):
@@ -90,15 +96,28 @@ def spans(text: str, automaton) -> list[tuple[int, int, int, int]]:
         ends[at + len(w)] = k
         at += len(w) + 1
     flat = f" {' '.join(w for w, _, _ in placed)} "
-    runs: dict[int, list[list[int]]] = defaultdict(list)
-    for end, (size, ids) in automaton.iter(flat):
+    open_: dict[tuple[int, int], list[int]] = {}
+    found: dict[int, set[tuple[int, int]]] = defaultdict(set)
+    for end, (size, places) in automaton.iter(flat):
         a, b = starts[end + 2 - size], ends[end]
-        for item in ids:
-            if runs[item] and a <= runs[item][-1][1] + 1:
-                runs[item][-1][1] = max(b, runs[item][-1][1])
+        for item, offset in places:
+            stretch = open_.get((item, offset - a))
+            if stretch is not None and stretch[2] == a - 1:
+                stretch[1:] = [b, a]
             else:
-                runs[item].append([a, b])
-    return [(item, placed[a][1], placed[b][2], b - a + 1) for item, rs in runs.items() for a, b in rs]
+                if stretch is not None:
+                    found[item].add((stretch[0], stretch[1]))
+                open_[item, offset - a] = [a, b, a]
+    for (item, _), (a, b, _) in open_.items():
+        found[item].add((a, b))
+    out = []
+    for item, stretches in found.items():
+        reach = -1
+        for a, b in sorted(stretches, key=lambda x: (x[0], -x[1])):
+            if b > reach:  # else it lies within a longer one
+                out.append((item, placed[a][1], placed[b][2], b - a + 1))
+                reach = b
+    return out
 
 
 def _blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[tuple[tuple[int, str], ...]]:
@@ -123,7 +142,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
             for pdf in batches:
                 rows: list[tuple] = []
                 for i, t in zip(pdf["__id"], pdf["__text"], strict=True) if automaton else ():
-                    found = {m[0] for m in matches(t, automaton)}
+                    found = matched_items(t, automaton)
                     if found and places:
                         rows += [(i, *s) for s in spans(t, automaton)]
                     else:

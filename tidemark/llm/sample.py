@@ -14,11 +14,14 @@ or all left; an empty table gives an empty sample. Extra columns pass through.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.sieve import may_be_in
+
 BUCKETS = 65_536
 #: The permutation b -> (b x STEP + START) mod BUCKETS; an odd step makes it one-to-one.
 STEP, START = 40_503, 12_289
@@ -41,17 +44,18 @@ def bucket_list(rate: float) -> list[int]:
 
 
 def held_buckets(rate: float) -> int:
+    """Any rate above 0 holds a bucket at least; `sample_rate` says what is held in fact."""
     if not 0 <= rate <= 1:
         raise ValueError("a rate lies between 0 and 1")
-    return round(rate * BUCKETS)
+    return math.ceil(rate * BUCKETS - 1e-9)
 
 
 def stable_sample(rows: DataFrame, key: str, stratum: Column, rates: Mapping[str, float], other: float, weight: str | None = None, salt: str = "tidemark/sample/1") -> DataFrame:
     """rows held, with sample_bucket, sample_rate (of the key) and sample_weight (the weight, or 1, over the rate).
 
-    Buckets that no rate reaches are left out at the scan. Keys whose rows have different rates are found
-    by an aggregation that combines before its shuffle, and only they are looked up, over salted keys, so a
-    key with a third of all rows is spread over several tasks."""
+    Buckets that no rate reaches are left out at the scan. Keys whose rows have different rates are found by an
+    aggregation that combines before its shuffle. Only rows that pass a sieve of these keys are looked up, over
+    salted keys, so a key with a third of all rows is spread over several tasks; the others stay where they are."""
     reach = F.lit(held_buckets(other))
     for name, rate in rates.items():
         reach = F.when(stratum == name, held_buckets(rate)).otherwise(reach)
@@ -62,8 +66,10 @@ def stable_sample(rows: DataFrame, key: str, stratum: Column, rates: Mapping[str
     salted = uneven.select("__key", "__most", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
     plain = [c for c, kind in rows.dtypes if "map<" not in kind]
     spread = within.withColumn("__salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
-    looked = spread.join(salted, (F.col(key) == F.col("__key")) & (spread["__salt"] == salted["__salt"]), "left")
-    held = looked.withColumn("__reach", F.coalesce("__most", "__reach")).where(F.col("__place") < F.col("__reach"))
+    uneven_key = may_be_in(F.col(key), uneven.select(F.col("__key")))
+    looked = spread.where(uneven_key).join(salted, (F.col(key) == F.col("__key")) & (spread["__salt"] == salted["__salt"]), "left")
+    looked = looked.withColumn("__reach", F.coalesce("__most", "__reach")).select(*within.columns)
+    held = within.where(~uneven_key).unionByName(looked).where(F.col("__place") < F.col("__reach"))
     rate = F.col("__reach") / F.lit(float(BUCKETS))
     worth = F.col(weight).cast("double") if weight else F.lit(1.0)
     return held.withColumns({"sample_rate": rate, "sample_weight": worth / rate}).select(*rows.columns, "sample_bucket", "sample_rate", "sample_weight")
