@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 from pathlib import Path
 
@@ -18,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_training_set_below_the_bounds_is_all_labelled_rows(spark):
     labelled = duck(SF).execute("SELECT count(DISTINCT event_id) FROM kept_history WHERE is_fraud IS NOT NULL").fetchone()[0]
-    assert entry.queries()["train_bounded_whole"](spark, SF).count() == labelled > entry.queries()["train_bounded"](spark, SF).count()
+    assert entry.queries()["train_bounded"](spark, SF).count() == labelled
 
 
 def test_all_closed_hours_are_sealed(spark):
@@ -45,8 +46,27 @@ def test_checksums_cover_the_folder(spark, tmp_path):
     assert got == {n: hashlib.sha256(n.encode()).hexdigest() for n in ("a/part-0", "b/part-0")}
     then = spark.createDataFrame([(n, x if n != "b/part-0" else "other") for n, x in got.items()], "name string, sha256 string")
     assert {r.name: r.state for r in tables.verify(spark, str(tmp_path), then).collect()} == {"a/part-0": "same", "b/part-0": "changed"}
-    found = {r.name: r.state for r in entry.queries()["src_checksums_whole"](spark, SF).collect()}
-    assert found == {str(p.relative_to(SF)): "same" for p in Path(SF).rglob("*") if p.is_file() and not p.name.startswith((".", "_"))}
+    found = {r.name: r.state for r in entry.queries()["src_checksums"](spark, SF).collect()}
+    files = {str(p.relative_to(SF)) for p in Path(SF).rglob("*") if p.is_file() and not p.name.startswith((".", "_"))}
+    assert found == dict.fromkeys(files, "same") | {"region.parquet": "changed", "nation.parquet": "new", "gone.parquet": "missing"}
+
+
+def test_a_batch_delivered_again_and_a_sealing_that_died(spark):
+    root = scratch_path(spark, "spool")
+    spool = tables.HourSpool(spark, root)
+    rows = spark.sql("SELECT id, timestamp'2027-09-01 00:30:00' + make_interval(0, 0, 0, 0, id % 2) AS event_time FROM range(10)")
+    spool.append(rows, 7)
+    spool.append(rows, 7)
+    recover, spool.recover = spool.recover, lambda: None  # the run dies after its journal
+    spool.seal_closed("2027-09-01T01")
+    spool.append(rows.where("id < 4").withColumn("id", F.col("id") + 100), 8)
+    again = tables.HourSpool(spark, root)
+    assert again.sealed() == ["2027-09-01T00"] and sorted(r.id for r in again.read().collect()) == [*range(10), *range(100, 104)]
+    again.append(rows, 7)  # its first hour is sealed
+    assert sorted(r.id for r in again.read().collect()) == [*range(10), *range(100, 104)]
+    now = dt.datetime(2027, 9, 1, 2, 9)
+    assert again.seal_settled(now) == ["2027-09-01T00"] and again.seal_settled(now + dt.timedelta(minutes=1)) == ["2027-09-01T01"]
+    assert again.day_ready("2027-09-01", dt.datetime(2027, 9, 2, 3)) and not again.day_ready("2027-09-01", dt.datetime(2027, 9, 2, 2))
 
 
 def test_good_records_end_a_bad_run_inside_and_across_minutes(spark):
@@ -59,7 +79,7 @@ def test_good_records_end_a_bad_run_inside_and_across_minutes(spark):
 
 
 def test_late_deliveries_are_found_among_all_rows(spark):
-    got = entry.queries()["src_replay_late_whole"](spark, SF)
+    got = entry.queries()["src_replay_late"](spark, SF)
     assert got.count() == duck(SF).execute("SELECT count(*) FROM staged_decisions").fetchone()[0]
 
 

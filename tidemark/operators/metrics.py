@@ -1,4 +1,4 @@
-"""Weighted ranking metrics, decision cost and quality, bootstrap intervals and a promotion verdict.
+"""Weighted ranking metrics, decision cost and quality, bootstrap intervals and a promotion gate.
 
 Scores are aggregated by value before anything is ordered. Cumulative sums over scores run in two levels,
 in ranges of scores and over range totals, so a ranking of any size has no single-task step.
@@ -164,7 +164,7 @@ def t_interval(rows: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     return g.select(*groups, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
-def verdict(rows: DataFrame, least_rows: int = 1000, least_frauds: int = 50, margin: float = 0.0, resamples: int = 200, seed: int = 1) -> DataFrame:
+def promotion_gate(rows: DataFrame, least_rows: int = 1000, least_frauds: int = 50, margin: float = 0.0, resamples: int = 200, seed: int = 1) -> DataFrame:
     """One row: challenger against champion by average precision and decision cost, with the paired interval
     and whether to promote. rows: is_fraud, amount_cents, champion_score, challenger_score, weight.
 

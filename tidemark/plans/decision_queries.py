@@ -98,18 +98,12 @@ def train_split(spark: SparkSession, d: str) -> DataFrame:
     return history.split_by_time(kept(spark, d)).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_fraud").alias("frauds"))
 
 
-def train_bounded(spark: SparkSession, d: str) -> DataFrame:
-    """A fixture's bounds, as its SQL has them; train_bounded_whole has the reference's."""
-    rows = history.bounded_rows(kept(spark, d).withColumn("weight", F.coalesce("weight", F.lit(1.0))), {True: 50, False: 200})
-    return rows.select("event_id", "is_fraud", F.round("weight", 6).alias("weight"))
-
-
-#: The reference's targets for the table that candidates are fitted on, by label.
+#: Targets for the table that candidates are fitted on, by label.
 TRAIN_TARGETS = {True: 400_000, False: 2_000_000}
 
 
-def train_bounded_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The training set under the reference's bounds: below them every labelled row stays."""
+def train_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """The training set under its bounds: below them every labelled row stays."""
     rows = history.bounded_rows(kept(spark, d).withColumn("weight", F.coalesce("weight", F.lit(1.0))), TRAIN_TARGETS)
     return rows.select("event_id", "is_fraud", F.round("weight", 6).alias("weight"))
 
@@ -160,8 +154,8 @@ def pr_auc_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return metrics.bootstrap_precision(_shadow_rows(spark, d), "is_fraud", ["champion_score", "challenger_score"], "weight", 200)
 
 
-def promotion_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.verdict(_shadow_rows(spark, d))
+def promotion_gate(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.promotion_gate(_shadow_rows(spark, d))
 
 
 def t_interval(spark: SparkSession, d: str) -> DataFrame:
@@ -191,10 +185,10 @@ def train_model(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "decide": decide_all, "shadow_compare": shadow_compare, "current_shadow": current_shadow, "hash_draw": hash_draw,
     "history_kept": history_kept, "history_manifest": history_manifest, "history_hours": history_hours, "history_finalisable": history_finalisable, "unlabelled": unlabelled,
-    "train_at_cutoff": train_at_cutoff, "train_split": train_split, "train_bounded": train_bounded, "train_bounded_whole": train_bounded_whole, "train_standardisation": train_standardisation, "train_model": train_model,
+    "train_at_cutoff": train_at_cutoff, "train_split": train_split, "train_bounded": train_bounded, "train_standardisation": train_standardisation, "train_model": train_model,
     "pr_auc": pr_auc, "pr_auc_by_action": pr_auc_by_action, "decision_cost": decision_cost,
     "quality_overall": quality_overall, "quality_daily": quality_daily, "quality_by_action": quality_by_action, "quality_by_rule": quality_by_rule, "quality_bands": quality_bands,
-    "pr_auc_bootstrap": pr_auc_bootstrap, "promotion_verdict": promotion_verdict, "t_interval": t_interval,
+    "pr_auc_bootstrap": pr_auc_bootstrap, "promotion_gate": promotion_gate, "t_interval": t_interval,
 }
 
 _ORDERED = ", ".join(f"{c} NULLS FIRST" for c in ORDER)
@@ -271,9 +265,7 @@ HAVING (epoch_us(min(event_time)) // {DAY} + 1) * {DAY} + {7 * DAY + 6 * HOUR} <
     "train_split": f"""WITH {KEPT}, b AS (SELECT epoch_us(min(event_time)) AS a, epoch_us(max(event_time)) AS z, epoch_us(max(label_time)) AS l FROM kept),
 p AS (SELECT *, CAST(floor(a + (z - a) * 0.7) AS BIGINT) AS pt FROM kept, b)
 SELECT CASE WHEN epoch_us(event_time) < pt AND epoch_us(label_time) <= pt THEN 'train' WHEN epoch_us(event_time) >= pt THEN 'test' END AS part, count(*) AS n, count(*) FILTER (is_fraud) AS frauds FROM p GROUP BY 1""",
-    "train_bounded": f"""WITH {KEPT}, c AS (SELECT least(1.0, 50 / nullif(count(*) FILTER (is_fraud), 0)) AS f, least(1.0, 200 / nullif(count(*) FILTER (NOT is_fraud), 0)) AS l FROM kept),
-s AS (SELECT event_id, is_fraud, w, CASE WHEN is_fraud THEN f ELSE l END AS share FROM kept, c) SELECT event_id, is_fraud, round(w / share, 6) AS weight FROM s WHERE {_u64(history.TRAIN_SALT)} < share""",
-    "train_bounded_whole": f"""WITH {KEPT}, c AS (SELECT least(1.0, 400000 / nullif(count(*) FILTER (is_fraud), 0)) AS f, least(1.0, 2000000 / nullif(count(*) FILTER (NOT is_fraud), 0)) AS l FROM kept),
+    "train_bounded": f"""WITH {KEPT}, c AS (SELECT least(1.0, 400000 / nullif(count(*) FILTER (is_fraud), 0)) AS f, least(1.0, 2000000 / nullif(count(*) FILTER (NOT is_fraud), 0)) AS l FROM kept),
 s AS (SELECT event_id, is_fraud, w, CASE WHEN is_fraud THEN f ELSE l END AS share FROM kept, c) SELECT event_id, is_fraud, round(w / share, 6) AS weight FROM s WHERE {_u64(history.TRAIN_SALT)} < share""",
     "train_standardisation": _standardisation_sql(),
     "pr_auc": _ap("champion_score"),

@@ -47,12 +47,6 @@ def _bad_runs(rows: DataFrame) -> DataFrame:
 
 
 def src_replay_late(spark: SparkSession, d: str) -> DataFrame:
-    """Batches whose newest row is earlier in event time than one of a batch before."""
-    rows = table(spark, d, "staged_decisions").groupBy("batch_no").agg(F.max(F.unix_micros("event_time")).alias("us"))
-    return tables.late_in_log(rows, "us", "batch_no", block=64)
-
-
-def src_replay_late_whole(spark: SparkSession, d: str) -> DataFrame:
     """Deliveries in order of batch and decision, and whether each is earlier in event time than one before it."""
     rows = table(spark, d, "staged_decisions").select("batch_no", "decided_at", "event_id", F.unix_micros("event_time").alias("us"))
     log = tables.numbered(rows, F.col("batch_no"), ["decided_at", "event_id", "us"])
@@ -65,15 +59,6 @@ def src_replay_span(spark: SparkSession, d: str) -> DataFrame:
 
 
 def src_hour_spool(spark: SparkSession, d: str) -> DataFrame:
-    """The first day's staged rows spooled by hour, three hours sealed, and all read back by hour."""
-    rows = table(spark, d, "staged_decisions").select("event_id", "event_time", "amount_cents").where("event_time < timestamp'2027-09-02 00:00:00'")
-    spool = tables.HourSpool(spark, scratch_path(spark, "spool"))
-    spool.append(rows)
-    spool.seal_closed("2027-09-01T03")
-    return spool.read().groupBy(F.date_format("event_time", "yyyy-MM-dd'T'HH").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount_cents").alias("amount_cents"))
-
-
-def src_hour_spool_whole(spark: SparkSession, d: str) -> DataFrame:
     """All staged rows spooled by hour, every hour before the data's last one sealed, and all read back by hour."""
     return _spooled(spark, d).read().groupBy(F.date_format("event_time", "yyyy-MM-dd'T'HH").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount_cents").alias("amount_cents"))
 
@@ -97,15 +82,12 @@ def src_time_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def src_checksums(spark: SparkSession, d: str) -> DataFrame:
-    """The smallest file's checksum, recorded and verified."""
-    path = f"{d}/region.parquet"
-    seen = tables.checksums(spark, path)
-    return tables.verify(spark, path, seen.select("name", "sha256"))
-
-
-def src_checksums_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The checksums of all the folder's files, recorded and verified."""
-    return tables.verify(spark, d, written(tables.checksums(spark, d).select("name", "sha256"), "sums"))
+    """The checksums of all the folder's files, verified against a record in which one file was other, one wasn't
+    and one was that is gone."""
+    name = F.col("name")
+    now = written(tables.checksums(spark, d).select("name", "sha256"), "sums")
+    then = now.where(~F.startswith(name, F.lit("nation."))).withColumn("sha256", F.when(F.startswith(name, F.lit("region.")), F.reverse("sha256")).otherwise(F.col("sha256")))
+    return tables.verify(spark, d, then.unionByName(spark.createDataFrame([("gone.parquet", "0")], "name string, sha256 string")))
 
 
 def src_feature_store(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +163,7 @@ def _streamed(spark: SparkSession, d: str) -> scorer.StreamScorer:
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         part = rows.where((F.col("__us") >= a) & (F.col("__us") < b)).orderBy("__us", "event_id").drop("__us")
         records.to_wire(part).coalesce(1).write.mode("append").text(path)
-    out = scorer.StreamScorer(spark, scratch_path(spark, "scored"), stop_after=10_000)
+    out = scorer.StreamScorer(spark, scratch_path(spark, "scored"))
     out.run(scorer.text_stream(spark, path), scratch_path(spark, "checkpoint"))
     return out
 
@@ -197,8 +179,8 @@ def stream_dead_letters(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "src_json_log": src_json_log, "src_labels_log": src_labels_log, "src_dead_letters": src_dead_letters, "src_bad_runs": src_bad_runs, "src_replay_late": src_replay_late, "src_replay_late_whole": src_replay_late_whole, "src_replay_span": src_replay_span,
-    "src_hour_spool": src_hour_spool, "src_hour_spool_whole": src_hour_spool_whole, "src_profile": src_profile, "src_time_resolution": src_time_resolution, "src_checksums": src_checksums, "src_checksums_whole": src_checksums_whole, "src_feature_store": src_feature_store,
+    "src_json_log": src_json_log, "src_labels_log": src_labels_log, "src_dead_letters": src_dead_letters, "src_bad_runs": src_bad_runs, "src_replay_late": src_replay_late, "src_replay_span": src_replay_span,
+    "src_hour_spool": src_hour_spool, "src_profile": src_profile, "src_time_resolution": src_time_resolution, "src_checksums": src_checksums, "src_feature_store": src_feature_store,
     "map_cards": map_cards, "map_report": map_report, "gen_traffic": gen_traffic, "gen_features": gen_features, "stream_decide": stream_decide, "stream_dead_letters": stream_dead_letters,
 }
 
@@ -210,22 +192,21 @@ m AS (SELECT *, CASE WHEN r > 5 OR (r = 5 AND q % 2 = 1) THEN q + 1 ELSE q END A
 t AS (SELECT 'ieee-' || n AS event_id, (1512086400 + dt) * 1000000 AS us, (1512086400 + 604800 + dt) * 1000000 AS label_us, is_fraud, linked, r <> 0 AS rounded, cents AS amount_cents, bad,
   CASE WHEN linked THEN 'ieee-card-' || substr(sha256(concat(l_suppkey, '|~|150|visa|~|', l_linestatus, '|315|', dt // 86400 - n % 400)), 1, 20) ELSE 'ieee-unlinked-' || n END AS card_id FROM m)"""
 
+_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings txn_stream staged_decisions label_spool kept_history latency_minutes eval_items gone").split()
+
 SQL = {
     "src_json_log": "SELECT event_id, epoch_us(event_time) AS us, card_id, device_id, merchant_id, session_id, amount_cents, merchant_category, entry_mode FROM txn_stream WHERE schema_version = 2",
     "src_labels_log": "SELECT event_id, epoch_us(label_time) AS us, is_fraud, recovered_cents FROM label_spool",
     "src_dead_letters": "SELECT 'unknown_schema_version' AS reason, CAST(schema_version AS VARCHAR) AS detail, count(*) AS n FROM txn_stream WHERE schema_version <> 2 GROUP BY 2",
-    "src_bad_runs": """WITH o AS (SELECT epoch_us(event_time) // 60000000 AS s, max(CASE WHEN schema_version <> 2 THEN 1 ELSE 0 END) AS bad FROM txn_stream GROUP BY 1),
-i AS (SELECT *, row_number() OVER (ORDER BY s) - row_number() OVER (PARTITION BY bad ORDER BY s) AS g FROM o) SELECT coalesce(max(n), 0) AS longest FROM (SELECT count(*) AS n FROM i WHERE bad = 1 GROUP BY g)""",
-    "src_replay_late": """WITH b AS (SELECT batch_no, epoch_us(max(event_time)) AS us FROM staged_decisions GROUP BY 1)
-SELECT batch_no, us, coalesce(us < max(us) OVER (ORDER BY batch_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM b""",
-    "src_replay_late_whole": """SELECT batch_no, event_id, epoch_us(event_time) AS us, coalesce(epoch_us(event_time) < max(epoch_us(event_time)) OVER (ORDER BY batch_no NULLS FIRST, decided_at NULLS FIRST, event_id NULLS FIRST, event_time NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM staged_decisions""",
+    "src_bad_runs": """WITH o AS (SELECT event_time AS t, event_id, CASE WHEN schema_version <> 2 THEN 1 ELSE 0 END AS bad FROM txn_stream),
+i AS (SELECT bad, row_number() OVER (ORDER BY t, event_id, bad) - row_number() OVER (PARTITION BY bad ORDER BY t, event_id) AS g FROM o) SELECT coalesce(max(n), 0) AS longest FROM (SELECT count(*) AS n FROM i WHERE bad = 1 GROUP BY g)""",
+    "src_replay_late": """SELECT batch_no, event_id, epoch_us(event_time) AS us, coalesce(epoch_us(event_time) < max(epoch_us(event_time)) OVER (ORDER BY batch_no NULLS FIRST, decided_at NULLS FIRST, event_id NULLS FIRST, event_time NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM staged_decisions""",
     "src_replay_span": "SELECT epoch_us(min(event_time)) AS first_us, epoch_us(max(event_time)) AS last_us FROM txn_stream WHERE event_time < TIMESTAMPTZ '2027-10-01 00:00:00+00'",
-    "src_hour_spool": "SELECT strftime(event_time, '%Y-%m-%dT%H') AS hour, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS amount_cents FROM staged_decisions WHERE event_time < TIMESTAMPTZ '2027-09-02 00:00:00+00' GROUP BY 1",
-    "src_hour_spool_whole": "SELECT strftime(event_time, '%Y-%m-%dT%H') AS hour, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS amount_cents FROM staged_decisions WHERE event_time IS NOT NULL GROUP BY 1",
+    "src_hour_spool": "SELECT strftime(event_time, '%Y-%m-%dT%H') AS hour, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS amount_cents FROM staged_decisions WHERE event_time IS NOT NULL GROUP BY 1",
     "src_profile": " UNION ALL ".join(f"SELECT '{c}' AS column, count(*) AS n, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 9) AS missing_share, count(DISTINCT {c}) AS n_distinct FROM txn_stream" for c in _COLUMNS),
     "src_time_resolution": """WITH u AS (SELECT epoch_us(event_time) AS us, count(*) AS n FROM txn_stream GROUP BY 1), g AS (SELECT *, us - lag(us) OVER (ORDER BY us) AS gap FROM u)
 SELECT min(us) AS first_us, max(us) AS last_us, count(*) AS n_distinct, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 9) AS share_sharing, min(gap) AS smallest_gap_us FROM g""",
-    "src_checksums": "SELECT 'region.parquet' AS name, 'same' AS state",
+    "src_checksums": f"SELECT name, CASE name WHEN 'region.parquet' THEN 'changed' WHEN 'nation.parquet' THEN 'new' WHEN 'gone.parquet' THEN 'missing' ELSE 'same' END AS state FROM (SELECT unnest([{', '.join(repr(f'{t}.parquet') for t in _TABLES)}]) AS name)",
     "src_feature_store": f"""WITH {TXN}, f AS ({feature_sql([s for s in fx.FEATURE_SET if s.entity == "session"])})
 SELECT entity_id, us, event_id, session_txn_count, session_amount_sum FROM (SELECT session_id AS entity_id, us, f.*, row_number() OVER (PARTITION BY session_id ORDER BY us DESC, f.event_id DESC) AS rn FROM f JOIN txn ON f.event_id = txn.event_id WHERE session_id IS NOT NULL) WHERE rn = 1""",
     "map_cards": f"WITH {_MAP} SELECT event_id, us, card_id, amount_cents, label_us, is_fraud, linked, rounded FROM t WHERE NOT bad",

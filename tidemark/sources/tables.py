@@ -6,6 +6,9 @@ empty table has a span of nulls and an empty profile of counts 0.
 
 from __future__ import annotations
 
+import datetime
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,19 +61,36 @@ def span(rows: DataFrame, time: str) -> DataFrame:
 
 
 class HourSpool:
-    """Rows by event hour under `root/hour=...`; each hour may be sealed into few sorted zstd files.
+    """Rows by event hour: appended as `root/open/batch=B/hour=H`, and sealed, each hour into few sorted zstd
+    files, as `root/sealed/hour=H`. A hot hour is split by its rows' size, not forced into one file.
 
-    A hot hour is split by its rows' size when it is sealed (max_rows in a file), not forced into one."""
+    Sealing takes the files that it has listed, so rows appended meanwhile stay open. Its moves and deletions
+    are published as JOURNAL before the first of them and done again from there if a run dies. LEDGER says which
+    hours of a batch were sealed, so that a batch delivered again adds nothing to them."""
 
     def __init__(self, spark: SparkSession, root: str, time: str = "event_time"):
         self.spark, self.root, self.time, self.store = spark, root.rstrip("/"), time, FileStore(spark, root)
+        self.recover()
 
-    def append(self, rows: DataFrame) -> None:
+    def append(self, rows: DataFrame, batch_id: int | str | None = None) -> None:
+        """A batch with an id replaces itself when it is delivered again."""
+        name = uuid.uuid4().hex if batch_id is None else str(batch_id)
         hour = F.date_format(self.time, "yyyy-MM-dd'T'HH")
-        rows.where(F.col(self.time).isNotNull()).withColumn("hour", hour).write.mode("append").partitionBy("hour").parquet(f"{self.root}/open")
+        due = rows.where(F.col(self.time).isNotNull()).withColumn("hour", hour)
+        if gone := self._ledger().get(name):
+            due = due.where(~F.col("hour").isin(*gone))
+        due.hint("rebalance", "hour").write.mode("overwrite").partitionBy("hour").parquet(f"{self.root}/open/batch={name}")
+
+    def _ledger(self) -> dict[str, list[str]]:
+        return json.loads(self.store.read("LEDGER") or "{}")
+
+    def _hours(self, folder: str) -> list[str]:
+        return [n.removeprefix("hour=") for n in self.store.list(folder) if n.startswith("hour=")]
 
     def _of(self, state: str) -> list[str]:
-        return [n.removeprefix("hour=") for n in self.store.list(state) if n.startswith("hour=")]
+        if state == "sealed":
+            return self._hours("sealed")
+        return sorted({h for batch in self.store.list("open") for h in self._hours(f"open/{batch}")})
 
     def hours(self) -> list[str]:
         return sorted({*self._of("open"), *self._of("sealed")})
@@ -84,40 +104,77 @@ class HourSpool:
         for state in ("sealed", "open"):
             if self._of(state):
                 df = self.spark.read.option("basePath", f"{self.root}/{state}").option("mergeSchema", False).parquet(f"{self.root}/{state}")
-                df = df.withColumn("hour", F.date_format(self.time, "yyyy-MM-dd'T'HH")) if hours is None else df.where(F.col("hour").cast("string").isin(*hours))
-                parts.append(df.select(*(columns or [c for c in df.columns if c != "hour"])))
+                df = df if hours is None else df.where(F.col("hour").cast("string").isin(*hours))
+                parts.append(df.select(*(columns or [c for c in df.columns if c not in ("hour", "batch")])))
         return None if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
+    def _files(self, folder: str) -> list[str]:
+        return [f"{folder}/{n}" for n in self.store.list(folder) if n.startswith("part-")]
+
     def seal(self, hour: str, sort: Sequence[str] = (), max_rows: int = 5_000_000) -> bool:
         """Compacts an hour's open files, and what was sealed of it before; False if nothing is open."""
         return bool(self._seal([hour], sort, max_rows))
 
     def _seal(self, hours: Sequence[str], sort: Sequence[str] = (), max_rows: int = 5_000_000) -> list[str]:
-        """Compacts those of the hours that are open: written in one job, then published one by one."""
-        due = sorted({*hours} & {*self._of("open")})
+        """Compacts those of the hours that are open, in one job."""
+        open_ = {h: [f"open/{b}/hour={h}" for b in self.store.list("open") if self.store.exists(f"open/{b}/hour={h}")] for h in hours}
+        due = sorted(h for h, folders in open_.items() if folders)
         if not due:
             return []
-        rows = self.read(due).withColumn("hour", F.date_format(self.time, "yyyy-MM-dd'T'HH"))
+        taken = [f for h in due for folder in (*open_[h], f"sealed/hour={h}") for f in self._files(folder)]
+        rows = self.spark.read.parquet(*[f"{self.root}/{f}" for f in taken]).withColumn("hour", F.date_format(self.time, "yyyy-MM-dd'T'HH"))
         # Rows of an hour come together; a large hour is split by its size.
         out = rows.hint("rebalance", "hour")
         out = out.sortWithinPartitions("hour", *sort) if sort else out
+        self.store.delete("sealing")
         out.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", max_rows).partitionBy("hour").parquet(f"{self.root}/sealing")
-        path, fs = self.store._path, self.store._fs
-        fs.mkdirs(path(f"{self.root}/sealed"))
-        for hour in due:
-            self.store.delete(f"sealed/hour={hour}")
-            fs.rename(path(f"{self.root}/sealing/hour={hour}"), path(f"{self.root}/sealed/hour={hour}"))
-            self.store.delete(f"open/hour={hour}")
+        ledger: dict[str, list[str]] = {}
+        for h in due:
+            for folder in open_[h]:
+                ledger.setdefault(folder.split("/")[1].removeprefix("batch="), []).append(h)
+        moves = [[f, f.replace("sealing/", "sealed/", 1)] for h in self._hours("sealing") for f in self._files(f"sealing/hour={h}")]
+        self.store.publish("JOURNAL", json.dumps({"moves": moves, "deletes": taken, "folders": [f for h in due for f in open_[h]], "ledger": ledger}))
+        self.recover()
         return due
 
+    def recover(self) -> None:
+        """Finishes a sealing whose run died after its journal was published."""
+        if not (text := self.store.read("JOURNAL")):
+            return
+        journal, path, fs = json.loads(text), self.store._path, self.store._fs
+        for folder in {dst.rsplit("/", 1)[0] for _, dst in journal["moves"]}:
+            fs.mkdirs(path(f"{self.root}/{folder}"))
+        for src, dst in journal["moves"]:
+            fs.rename(path(f"{self.root}/{src}"), path(f"{self.root}/{dst}"))  # false where it is moved already
+        for f in journal["deletes"]:
+            fs.delete(path(f"{self.root}/{f}"), False)
+        for folder in journal["folders"]:
+            if not self._files(folder):
+                self.store.delete(folder)
+        ledger = self._ledger()
+        for batch, hours in journal["ledger"].items():
+            ledger[batch] = sorted({*ledger.get(batch, []), *hours})
+        self.store.publish("LEDGER", json.dumps(ledger))
+        self.store.delete("JOURNAL")
+
     def seal_closed(self, now_hour: str, limit: int | None = None) -> list[str]:
         """Seals open hours before now_hour, the oldest first."""
         return self._seal([h for h in self._of("open") if h < now_hour][:limit])
 
+    def seal_settled(self, now: datetime.datetime, settle_minutes: int = 10) -> list[str]:
+        """Seals open hours that ended at least settle_minutes before now."""
+        return self.seal_closed((now - datetime.timedelta(minutes=settle_minutes)).strftime("%Y-%m-%dT%H"))
+
+    def day_ready(self, day: str, now: datetime.datetime, settle_hours: int = 3) -> bool:
+        """Whether a day is over, settled, and none of its hours is open."""
+        end = datetime.datetime.fromisoformat(day).replace(tzinfo=now.tzinfo) + datetime.timedelta(days=1, hours=settle_hours)
+        return now >= end and not any(h.startswith(day) for h in self._of("open"))
+
     def delete(self, hours: Sequence[str]) -> None:
         for h in hours:
-            for state in ("open", "sealed"):
-                self.store.delete(f"{state}/hour={h}")
+            self.store.delete(f"sealed/hour={h}")
+            for batch in self.store.list("open"):
+                self.store.delete(f"open/{batch}/hour={h}")
 
 
 class FeatureStore:
@@ -150,7 +207,7 @@ class FeatureStore:
 
 
 def profile(rows: DataFrame) -> DataFrame:
-    """(column, type, n, missing_share, n_distinct, examples): whole columns; three smallest values as examples."""
+    """(column, type, n, missing_share, n_distinct, example): whole columns; the smallest value as `example`."""
     kinds = dict(rows.dtypes)
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in rows.columns])
     by_value = rows.select(F.inline(cells)).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))

@@ -164,6 +164,6 @@ def collect_labels(spark: SparkSession, lines: DataFrame, spool: tables.HourSpoo
     """A label stream into a spool by label hour. Unreadable labels are skipped."""
 
     def take(raw: DataFrame, batch_id: int) -> None:
-        spool.append(records.good(records.decoded(raw, schema=records.LABEL, rules=records.label_rules(), version=None)))
+        spool.append(records.good(records.decoded(raw, schema=records.LABEL, rules=records.label_rules(), version=None)), batch_id)
 
     lines.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
