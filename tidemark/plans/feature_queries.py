@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from tidemark.functions.times import DAY, HOUR, floor_to
 from tidemark.operators import features as fx
 from tidemark.operators import registry
-from tidemark.session import table
+from tidemark.session import scratch_path, table, written
+from tidemark.sources import tables
 
 SCHEMA_VERSION = 2
 
@@ -36,6 +37,9 @@ def _of(entity: str):
     return [s for s in fx.FEATURE_SET if s.entity == entity]
 
 
+KINDS = ("card", "device", "merchant", "session")
+
+
 def _per_entity(entity: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         return _rounded(fx.compute(transactions(spark, d), _of(entity)), _of(entity))
@@ -74,11 +78,12 @@ def feat_same_instant(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feat_narrow(spark: SparkSession, d: str) -> DataFrame:
-    specs = _of("session")
-    return fx.narrow(transactions(spark, d), specs).select("event_id", "entity", "entity_id", *[F.col("features")[s.name].alias(s.name) for s in specs])
+    """A row per event and entity that it has; another entity's features are null there."""
+    return fx.narrow(transactions(spark, d), fx.FEATURE_SET).select("event_id", "entity", "entity_id", *[F.round(F.try_element_at("features", F.lit(n)), 6).alias(n) for n in fx.FEATURE_NAMES])
 
 
-AUDITED = [s for s in fx.FEATURE_SET if s.entity in ("card", "session") and s.aggregation != "distinct_count"]
+#: All sixteen features are audited.
+AUDITED = list(fx.FEATURE_SET)
 
 
 def pit_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -106,27 +111,38 @@ def leak_planted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parity_latest(spark: SparkSession, d: str) -> DataFrame:
-    """Online against offline: the newest row of every device as kept by an upsert in two batches, and as
-    found in the whole history; rows compared and rows that differ."""
-    specs = _of("device")
-    rows = fx.narrow(transactions(spark, d), specs)
-    half = 1_821_000_000_000_000
-    first, second = rows.where(F.col("us") < half), rows.where(F.col("us") >= half)
-    online = fx.latest_values(fx.latest_values(first).unionByName(second.select("entity", "entity_id", "event_id", "us", "features")))
-    offline = fx.latest_values(rows)
-    left = online.select("entity_id", F.col("us").alias("l_us"), F.map_values("features").alias("l"))
-    both = left.join(offline.select("entity_id", F.col("us").alias("r_us"), F.map_values("features").alias("r")), "entity_id", "full")
-    return both.agg(F.count(F.lit(1)).alias("compared"), F.count_if(~(F.col("l_us").eqNullSafe(F.col("r_us")) & F.col("l").eqNullSafe(F.col("r")))).alias("violations"))
+    """Online against offline: every entity's newest row as a feature store keeps it, written in two batches,
+    and as ordering the whole history finds it; by entity kind the rows compared and those that differ."""
+    rows = written(fx.narrow(transactions(spark, d), fx.FEATURE_SET), "narrow")
+    store, half = tables.FeatureStore(spark, scratch_path(spark, "features")), 1_821_000_000_000_000
+    store.write(rows.where(F.col("us") < half), 0)
+    store.write(rows.where(F.col("us") >= half), 1)
+    newest = W.partitionBy("entity", "entity_id").orderBy(F.desc("us"), F.desc("event_id"))
+    offline = rows.withColumn("__k", F.row_number().over(newest)).where("__k = 1")
+    told = lambda df, name: df.select("entity", "entity_id", F.struct("us", "event_id", F.array_sort(F.map_entries("features")).alias("f")).alias(name))
+    both = told(store.online(), "l").join(told(offline, "r"), ["entity", "entity_id"], "full")
+    return both.groupBy("entity").agg(F.count(F.lit(1)).alias("compared"), F.count_if(~F.col("l").eqNullSafe(F.col("r"))).alias("violations"))
+
+
+CARD_NAMES = [s.name for s in fx.FEATURE_SET if s.entity == "card"]
+
+
+def _card_states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The transactions, and each card's features at each of its moments."""
+    txn = transactions(spark, d)
+    states = fx.compute(txn, _of("card"), keep=["card_id"]).groupBy("card_id", "us").agg(*[F.round(F.max(n), 6).alias(n) for n in CARD_NAMES])
+    return txn, states
+
+
+def _first_label_times(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "label_spool").groupBy("event_id").agg(F.min(F.unix_micros("label_time")).alias("label_us"))
 
 
 def asof_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """For every labelled event, its card's features as of the label's arrival, if younger than 25 hours."""
-    specs = [s for s in fx.FEATURE_SET if s.name in ("card_txn_count_1h", "card_txn_count_24h", "card_amount_sum_1h")]
-    txn = transactions(spark, d)
-    states = fx.compute(txn, specs, keep=["card_id"]).groupBy("card_id", "us").agg(*[F.max(s.name).alias(s.name) for s in specs])
-    labels = table(spark, d, "label_spool").groupBy("event_id").agg(F.min(F.unix_micros("label_time")).alias("label_us"))
-    asked = txn.select("event_id", "card_id").join(labels, "event_id")
-    return fx.as_of_values(asked, states, "card_id", "label_us", "us", [s.name for s in specs], 25 * HOUR).select("event_id", *[s.name for s in specs])
+    txn, states = _card_states(spark, d)
+    asked = txn.select("event_id", "card_id").join(_first_label_times(spark, d), "event_id")
+    return fx.as_of_values(asked, states, "card_id", "label_us", "us", CARD_NAMES, 25 * HOUR).select("event_id", *CARD_NAMES)
 
 
 def entity_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -136,33 +152,38 @@ def entity_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_shift(spark: SparkSession, d: str) -> DataFrame:
-    """Features must not move when labels arrive 30 days later: events compared and events that differ."""
-    specs = _of("session")
-    txn = transactions(spark, d)
-    labels = table(spark, d, "label_spool").groupBy("event_id").agg(F.min(F.unix_micros("label_time")).alias("label_us"))
-    a = fx.compute(txn.join(labels, "event_id"), specs)
-    b = fx.compute(txn.join(labels.withColumn("label_us", F.col("label_us") + 30 * DAY), "event_id"), specs).select("event_id", *[F.col(s.name).alias(f"b_{s.name}") for s in specs])
-    same = F.lit(True)
-    for s in specs:
-        same = same & F.col(s.name).eqNullSafe(F.col(f"b_{s.name}"))
-    return a.join(b, "event_id", "full").agg(F.count(F.lit(1)).alias("compared"), F.count_if(~same).alias("violations"))
+    """Training rows are retrieved as of the event's time, so they must not move when labels arrive 30 days
+    later; retrieval as of the label's time is the leak that this must find. By path, the rows compared and moved."""
+    txn, states = _card_states(spark, d)
+    states = written(states, "states")
+    labelled = written(txn.select("event_id", "card_id", F.col("us").alias("event_us")).join(_first_label_times(spark, d), "event_id"), "labelled")
+    out = None
+    for path, at in (("event time", "event_us"), ("label time", "label_us")):
+        rows = []
+        for shift in (0, 30 * DAY):
+            asked = labelled.withColumn("label_us", F.col("label_us") + shift).select("event_id", "card_id", F.col(at).alias("at"))
+            rows.append(fx.as_of_values(asked, states, "card_id", "at", "us", CARD_NAMES, 25 * HOUR).select("event_id", F.struct(*CARD_NAMES).alias(f"v{shift}")))
+        moved = ~F.col("v0").eqNullSafe(F.col(f"v{30 * DAY}"))
+        part = rows[0].join(rows[1], "event_id", "full").agg(F.count(F.lit(1)).alias("compared"), F.count_if(moved).alias("moved")).select(F.lit(path).alias("path"), "compared", "moved")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def path_parity(spark: SparkSession, d: str) -> DataFrame:
-    """The batch path over the stream as it lies against the path over its events in two halves, the second with
-    a day's history before it."""
-    specs, names = _of("card"), [s.name for s in _of("card")]
+    """All features by the batch path over the whole against the path over its events in two halves, the second
+    with a day's history before it."""
+    specs, names = fx.FEATURE_SET, list(fx.FEATURE_NAMES)
     txn = transactions(spark, d)
     cut = 1_823_000_000_000_000
     halves = fx.compute(txn.where(F.col("us") < cut), specs).unionByName(fx.compute(txn.where(F.col("us") >= cut - 26 * HOUR), specs).where(F.col("us") >= cut))
-    return registry.parity(fx.compute(txn, specs), halves, "event_id", names)
+    return registry.parity(fx.compute(txn, specs), halves, "event_id", names, 1e-9)
 
 
 def feature_views(spark: SparkSession, d: str) -> DataFrame:
-    """The session view of the catalog, by SQL."""
-    specs = _of("session")
-    registry.create_views(fx.narrow(transactions(spark, d), specs), specs)
-    return spark.sql(f"SELECT entity_id, count(*) AS n, max(session_txn_count) AS most FROM {registry.view_name('session')} GROUP BY entity_id")
+    """The catalog's four views, by SQL."""
+    registry.create_views(written(fx.narrow(transactions(spark, d), fx.FEATURE_SET), "narrow"), fx.FEATURE_SET)
+    parts = [f"SELECT '{k}' AS entity, entity_id, count(*) AS n, max({_of(k)[0].name}) AS most FROM {registry.view_name(k)} GROUP BY entity_id" for k in KINDS]
+    return spark.sql(" UNION ALL ".join(parts))
 
 
 TXN = f"""txn AS (SELECT event_id, us, card_id, device_id, merchant_id, session_id, amount_cents FROM (
@@ -190,6 +211,16 @@ def feature_sql(specs, us: str = "us", source: str = TXN) -> str:
     return f"WITH {source}, moved AS (SELECT * REPLACE ({us} AS us) FROM txn) SELECT event_id, {', '.join(out)} FROM moved"
 
 
+_STATES = f"""WITH {TXN}, f AS ({feature_sql(_of('card'))}),
+st AS (SELECT card_id, us, {', '.join(f'max({n}) AS {n}' for n in CARD_NAMES)} FROM f JOIN txn USING (event_id) GROUP BY card_id, us),
+q AS (SELECT event_id, card_id, min(epoch_us(label_time)) AS at FROM txn JOIN label_spool USING (event_id) GROUP BY event_id, card_id)"""
+
+
+def _as_of(asked: str) -> str:
+    values = ", ".join(f"coalesce(CASE WHEN s.us >= a.at - {25 * HOUR} THEN s.{n} END, -1) AS {n}" for n in CARD_NAMES)
+    return f"SELECT a.event_id, {values} FROM {asked} a ASOF LEFT JOIN st s ON a.card_id = s.card_id AND a.at >= s.us"
+
+
 QUERIES = {
     "feat_wide": feat_wide, "feat_card": _per_entity("card"), "feat_device": _per_entity("device"), "feat_merchant": _per_entity("merchant"), "feat_session": _per_entity("session"),
     "feat_extra": feat_extra, "feat_unbounded": feat_unbounded, "feat_same_instant": feat_same_instant, "feat_narrow": feat_narrow,
@@ -202,19 +233,20 @@ SQL = {
     "feat_extra": feature_sql(EXTRA),
     "feat_unbounded": feature_sql(UNBOUNDED),
     "feat_same_instant": feature_sql(fx.FEATURE_SET, f"us // {HOUR} * {HOUR}"),
-    "feat_narrow": f"SELECT f.event_id, 'session' AS entity, session_id AS entity_id, session_txn_count, session_amount_sum FROM ({feature_sql(_of('session'))}) f JOIN (WITH {TXN} SELECT event_id, session_id FROM txn WHERE session_id IS NOT NULL) t USING (event_id)",
+    "feat_narrow": f"WITH f AS ({feature_sql(fx.FEATURE_SET)}), t AS (WITH {TXN} SELECT * FROM txn) " + " UNION ALL BY NAME ".join(
+        f"SELECT f.event_id, '{k}' AS entity, {k}_id AS entity_id, {', '.join(x.name for x in _of(k))} FROM f JOIN t ON f.event_id = t.event_id WHERE {k}_id IS NOT NULL" for k in KINDS
+    ),
     "pit_violations": f"WITH {TXN} SELECT unnest([{', '.join(repr(s.name) for s in AUDITED)}]) AS feature, count(*) AS compared, CAST(0 AS BIGINT) AS violations FROM txn",
     "leak_planted": f"""WITH {TXN}, h AS (SELECT card_id, us // {HOUR} AS b FROM txn), seen AS (SELECT count(*) AS n FROM h)
 SELECT unnest(['card_txn_count_1h', 'card_amount_sum_1h']) AS feature, n AS compared, n AS violations FROM seen""",
-    "parity_latest": f"WITH {TXN} SELECT count(DISTINCT device_id) AS compared, CAST(0 AS BIGINT) AS violations FROM txn",
-    "asof_retrieval": f"""WITH {TXN}, f AS ({feature_sql([s for s in fx.FEATURE_SET if s.name in ("card_txn_count_1h", "card_txn_count_24h", "card_amount_sum_1h")])}),
-st AS (SELECT card_id, us, max(card_txn_count_1h) AS card_txn_count_1h, max(card_txn_count_24h) AS card_txn_count_24h, max(card_amount_sum_1h) AS card_amount_sum_1h FROM f JOIN txn USING (event_id) GROUP BY card_id, us),
-q AS (SELECT event_id, card_id, min(epoch_us(label_time)) AS at FROM txn JOIN label_spool USING (event_id) GROUP BY event_id, card_id)
-SELECT q.event_id, coalesce(CASE WHEN s.us >= q.at - {25 * HOUR} THEN s.card_txn_count_1h END, -1) AS card_txn_count_1h,
-coalesce(CASE WHEN s.us >= q.at - {25 * HOUR} THEN s.card_txn_count_24h END, -1) AS card_txn_count_24h, coalesce(CASE WHEN s.us >= q.at - {25 * HOUR} THEN s.card_amount_sum_1h END, -1) AS card_amount_sum_1h
-FROM q ASOF LEFT JOIN st s ON q.card_id = s.card_id AND q.at >= s.us""",
+    "parity_latest": f"WITH {TXN} " + " UNION ALL ".join(f"SELECT '{k}' AS entity, count(DISTINCT {k}_id) AS compared, CAST(0 AS BIGINT) AS violations FROM txn HAVING count({k}_id) > 0" for k in KINDS),
+    "asof_retrieval": f"{_STATES} SELECT event_id, {', '.join(CARD_NAMES)} FROM ({_as_of('q')})",
     "entity_sample": "SELECT card_id, count(*) AS n FROM txn_stream WHERE CAST('0x' || substr(sha256(card_id), 1, 8) AS BIGINT) % 1000 < 50 GROUP BY card_id",
     "path_parity": f"WITH {TXN} SELECT count(*) AS compared, CAST(0 AS BIGINT) AS rows_differing, CAST(0 AS BIGINT) AS cells_differing, CAST(1.0 AS DOUBLE) AS parity FROM txn",
-    "feature_views": f"WITH f AS ({feature_sql(_of('session'))}), t AS (WITH {TXN} SELECT event_id, session_id FROM txn WHERE session_id IS NOT NULL) SELECT session_id AS entity_id, count(*) AS n, max(session_txn_count) AS most FROM f JOIN t USING (event_id) GROUP BY 1",
-    "label_shift": f"WITH {TXN} SELECT count(*) AS compared, CAST(0 AS BIGINT) AS violations FROM txn WHERE event_id IN (SELECT event_id FROM label_spool)",
+    "feature_views": f"WITH f AS ({feature_sql(fx.FEATURE_SET)}), t AS (WITH {TXN} SELECT * FROM txn) " + " UNION ALL ".join(
+        f"SELECT '{k}' AS entity, {k}_id AS entity_id, count(*) AS n, max({_of(k)[0].name}) AS most FROM f JOIN t ON f.event_id = t.event_id WHERE {k}_id IS NOT NULL GROUP BY {k}_id" for k in KINDS
+    ),
+    "label_shift": f"""{_STATES}, r AS ({_as_of('q')}), later AS (SELECT event_id, card_id, q.at + {30 * DAY} AS at FROM q), l AS ({_as_of('later')})
+SELECT 'event time' AS path, count(*) AS compared, CAST(0 AS BIGINT) AS moved FROM q
+UNION ALL SELECT 'label time', count(*), count(*) FILTER ({' OR '.join(f'r.{n} IS DISTINCT FROM l.{n}' for n in CARD_NAMES)}) FROM r JOIN l USING (event_id)""",
 }
