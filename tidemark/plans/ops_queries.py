@@ -108,16 +108,17 @@ def ops_idle_runs(spark: SparkSession, d: str) -> DataFrame:
     return ops.idle_runs(_minutes(spark, d)).select("instance_id", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "minutes")
 
 
-NOTICES = "VALUES ('scorer-00-00', timestamp'2027-09-05 10:00:30'), ('scorer-00-00', timestamp'2027-10-01 12:00:00'), ('scorer-00-01', timestamp'2027-10-20 03:15:10'), ('scorer-00-01', timestamp'2027-11-03 17:45:00') AS t(instance_id, noticed_at)"
+#: Notices before stops of either instance, one before none, one before the instance's minutes begin.
+NOTICES = "VALUES ('scorer-00-00', timestamp'2027-10-31 16:40:00'), ('scorer-00-00', timestamp'2027-10-31 17:50:30'), ('scorer-00-00', timestamp'2027-10-31 18:35:00'), ('scorer-00-00', timestamp'2027-10-31 20:05:10'), ('scorer-00-01', timestamp'2027-10-18 15:00:00'), ('scorer-00-01', timestamp'2027-10-18 16:10:59'), ('scorer-00-01', timestamp'2027-09-05 10:00:30') AS t(instance_id, noticed_at)"
 
 
 def ops_recoveries(spark: SparkSession, d: str) -> DataFrame:
-    got = ops.recoveries(_minutes(spark, d), spark.sql(f"SELECT * FROM {NOTICES}"), within_s=86_400)
+    got = ops.recoveries(_minutes(spark, d), spark.sql(f"SELECT * FROM {NOTICES}"))
     return got.select("instance_id", F.unix_micros("noticed_at").alias("noticed_us"), F.unix_micros("end").alias("end_us"), "minutes_without_decisions", F.round("decided", 3).alias("decided"), F.round("decided_late", 3).alias("decided_late"))
 
 
 def ops_availability(spark: SparkSession, d: str) -> DataFrame:
-    got = ops.availability(_minutes(spark, d), spark.sql(f"SELECT * FROM {NOTICES}"), QS, within_s=86_400)
+    got = ops.availability(_minutes(spark, d), spark.sql(f"SELECT * FROM {NOTICES}"), QS)
     return got.select("scope", "minutes", F.round("uptime", 9).alias("uptime"), F.round("total", 3).alias("total"), *[F.round(q, 9).alias(q) for q in QS])
 
 
@@ -206,7 +207,7 @@ SELECT instance_id, min(mt) AS first_us, max(mt) AS last_us, count(*) AS minutes
     "ops_recoveries": f"""WITH {_M1}, nn AS (SELECT instance_id, epoch_us(noticed_at) AS nu, epoch_us(noticed_at) // 60000000 * 60000000 AS su FROM (SELECT * FROM ({NOTICES.replace("timestamp'", "TIMESTAMP '").replace(" AS t(", ") AS t(")})),
 f AS (SELECT *, cu AND coalesce(lead(cu) OVER (PARTITION BY instance_id ORDER BY mt), false) AS ok FROM m),
 a AS (SELECT f.*, nu, su FROM nn JOIN f ON f.instance_id = nn.instance_id AND f.mt >= su),
-s AS (SELECT *, min(CASE WHEN NOT cu AND mt < su + 86400000000 THEN mt END) OVER (PARTITION BY instance_id, nu) AS stop FROM a),
+s AS (SELECT *, min(CASE WHEN NOT cu AND mt < su + 900000000 THEN mt END) OVER (PARTITION BY instance_id, nu) AS stop FROM a),
 w AS (SELECT *, min(CASE WHEN ok AND mt >= stop THEN mt END) OVER (PARTITION BY instance_id, nu) AS eu FROM s WHERE stop IS NOT NULL)
 SELECT instance_id, nu AS noticed_us, eu AS end_us, count(*) FILTER (decisions <= 0) AS minutes_without_decisions, round(sum(decisions), 3) AS decided, round(sum({_OVER.format("1.0")}), 3) AS decided_late FROM w WHERE eu IS NULL OR mt < eu GROUP BY instance_id, nu, eu""",
     "ops_histogram": f"WITH {_HIST} SELECT day, CASE WHEN le = 'inf'::DOUBLE THEN 'Infinity' ELSE CAST(le AS VARCHAR) END AS le, round(c, 3) AS count FROM h",
