@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.operators.ordered import exact_percentiles, running_sums, value_part
+from tidemark.session import written
 
 #: A quantity's verdict.
 LEAST_VALUES = 500
@@ -32,10 +33,16 @@ def long_form(rows: DataFrame, day: Column, quantities: dict[str, Column]) -> Da
     return rows.select(day.alias("day"), F.inline(F.array(*each))).where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+def counted(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, quantity, value, times): values added up, or added up further if they were before."""
+    times = F.sum("times") if "times" in values.columns else F.count(F.lit(1))
+    return values.groupBy(*keys, "quantity", "value").agg(times.alias("times"))
+
+
 def bin_edges(reference: DataFrame, bins: int = 10) -> DataFrame:
     """(quantity, edges): distinct inner quantiles of the values other than the sentinel."""
     inner = [i / bins for i in range(1, bins)]
-    q = exact_percentiles(reference.where(F.col("value") != SENTINEL), ["quantity"], "value", inner)
+    q = exact_percentiles(counted(reference, []).where(F.col("value") != SENTINEL), ["quantity"], "value", inner, "times")
     return q.select("quantity", F.array_sort(F.array_distinct("q")).alias("edges"))
 
 
@@ -48,7 +55,8 @@ def bin_shares(values: DataFrame, edges: DataFrame, keys: Sequence[str]) -> Data
     """(keys, quantity, bin, n, share), one row for every bin, empty or not."""
     # One row a quantity, of at most nine edges.
     placed = values.join(F.broadcast(edges), "quantity")
-    counts = placed.groupBy(*keys, "quantity", bin_of(F.col("value"), F.col("edges")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum("times") if "times" in values.columns else F.count(F.lit(1))
+    counts = placed.groupBy(*keys, "quantity", bin_of(F.col("value"), F.col("edges")).alias("bin")).agg(n.alias("n"))
     spine = counts.select(*keys, "quantity").distinct().join(F.broadcast(edges), "quantity")
     spine = spine.select(*keys, "quantity", F.explode(F.sequence(F.lit(0), F.size("edges") + 1)).alias("bin"))
     full = spine.join(counts, [*keys, "quantity", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -72,14 +80,15 @@ def kolmogorov_q(x: Column) -> Column:
 def ks(reference: DataFrame, current: DataFrame) -> DataFrame:
     """(day, quantity, n, n_reference, ks, ks_p). The largest gap lies at a value of the day or just before it:
     between two of its values the day's share stands still and the reference's only grows."""
-    ref = reference.groupBy("quantity", "value").agg(F.count(F.lit(1)).alias("r"))
-    cur = current.groupBy("day", "quantity", "value").agg(F.count(F.lit(1)).alias("c"))
+    ref = counted(reference, []).withColumnRenamed("times", "r")
+    cur = counted(current, ["day"]).withColumnRenamed("times", "c")
     no_day = F.lit(None).cast(dict(current.dtypes)["day"])
     both = ref.select(no_day.alias("day"), "quantity", "value", "r", F.lit(0).cast("long").alias("c")).unionByName(cur.select("day", "quantity", "value", F.lit(0).cast("long").alias("r"), "c"))
-    both = both.withColumn("__p", value_part(F.col("value")))
-    own = F.sum("r").over(W.partitionBy("quantity", "__p", "value"))
+    both = written(both.withColumn("__p", value_part(F.col("value"))), "ks")
+    # The same partitioning and order as the running sums', so no exchange of its own.
+    own = F.sum("r").over(W.partitionBy("quantity", "__p").orderBy("value").rangeBetween(0, 0))
     seen = running_sums(both.withColumn("own", own), ["quantity"], "__p", "value", {"r_upto": "r"}).where(F.col("day").isNotNull())
-    seen = running_sums(seen, ["day", "quantity"], "__p", "value", {"c_upto": "c"})
+    seen = running_sums(written(seen, "ks"), ["day", "quantity"], "__p", "value", {"c_upto": "c"})
     n_ref = ref.groupBy("quantity").agg(F.sum("r").alias("n_reference"))
     n_cur = cur.groupBy("day", "quantity").agg(F.sum("c").alias("n"))
     s = seen.join(n_cur, ["day", "quantity"]).join(n_ref, "quantity")
@@ -91,8 +100,10 @@ def ks(reference: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def judged(reference: DataFrame, current: DataFrame, days: DataFrame, quantities: Sequence[str], least: int = LEAST_VALUES) -> DataFrame:
-    """(day, quantity, n, psi, ks, ks_p, status) for every day and quantity."""
-    edges = bin_edges(reference)
+    """(day, quantity, n, psi, ks, ks_p, status) for every day and quantity. Values are added up once and stored;
+    bins, PSI and KS all start from the sums."""
+    reference, current = written(counted(reference, []), "reference"), written(counted(current, ["day"]), "current")
+    edges = written(bin_edges(reference), "edges")
     spine = days.select("day", F.explode(F.array(*[F.lit(q) for q in quantities])).alias("quantity"))
     found = spine.join(psi(reference, current, edges), ["day", "quantity"], "left").join(ks(reference, current), ["day", "quantity"], "left")
     n = F.coalesce("n", F.lit(0))

@@ -38,11 +38,12 @@ def running_sums(rows: DataFrame, groups: Sequence[str], part: str, order: str,
     return joined.select(*[inner[c] for c in rows.columns], *[(F.col(f"__i_{n}") + F.col(f"__b_{n}")).alias(n) for n in sums])
 
 
-def exact_percentiles(rows: DataFrame, groups: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+def exact_percentiles(rows: DataFrame, groups: Sequence[str], value: str, probabilities: Sequence[float], count: str | None = None) -> DataFrame:
     """(groups, n, q: array of the percentiles, in the order given), with linear interpolation between order
-    statistics. Null and NaN are no values; a group without values has no row."""
+    statistics. Null and NaN are no values; a group without values has no row. With count, a row stands for so
+    many."""
     v = F.col(value).cast("double")
-    by_value = rows.where(v.isNotNull() & ~F.isnan(v)).groupBy(*groups, v.alias("__v")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__p", value_part(F.col("__v")))
+    by_value = rows.where(v.isNotNull() & ~F.isnan(v)).groupBy(*groups, v.alias("__v")).agg((F.sum(count) if count else F.count(F.lit(1))).alias("__n")).withColumn("__p", value_part(F.col("__v")))
     placed = running_sums(by_value, groups, "__p", "__v", {"__upto": "__n"})
     sizes = by_value.groupBy(*groups).agg(F.sum("__n").alias("__size"))
     match = F.lit(True)
