@@ -41,12 +41,57 @@ def test_average_precision(spark):
     got = metrics.average_precision(df, "y", "s", "w").first()
     assert got.n_rows == 500 and abs(got.average_precision - want) < 1e-12
     assert metrics.average_precision(df.where("not y"), "y", "s", "w").first().average_precision == 0
-    boot = metrics.bootstrap_precision(df, "y", ["s"], "w", 60, 3, bins=10).toPandas()
+    boot = metrics.bootstrap_precision(df, "y", ["s"], "w", 60, 3).toPandas()
     assert abs(boot.s.mean() - want) < 0.05 and boot.s.std() > 0
-    again = metrics.bootstrap_precision(df.repartition(5), "y", ["s"], "w", 60, 3, bins=10).toPandas()
+    again = metrics.bootstrap_precision(df.repartition(5), "y", ["s"], "w", 60, 3).toPandas()
     assert dict(zip(boot["resample"], boot["s"], strict=True)) == dict(zip(again["resample"], again["s"], strict=True))
 
 
+def test_bootstrap_against_the_plain_one(spark):
+    import numpy as np
+
+    r = random.Random(12)
+    rows = [(i, r.random() < 0.3, min(1.0, r.random() ** 2), r.random(), r.choice([1.0, 5.0]), r.randrange(100)) for i in range(400)]
+    rows += [(1000 + i, i % 2 == 0, 0.5, 0.5, 1.0, 7) for i in range(60)]  # alike but for the label
+    df = spark.createDataFrame(rows, "i int, y boolean, s double, t double, w double, v int")
+    cells = {(x.s0, x.s1, x.y, x.w): (x.h, x.n) for x in metrics._cells(df, "y", ["s", "t"], "w").collect()}
+    assert max(n for _, n in cells.values()) == 30
+    keys = list(cells)
+    draws = metrics._draws(np.array([cells[k][0] for k in keys], np.int64).view(np.uint64), np.array([cells[k][1] for k in keys]), 0, 40, 5)
+    assert abs(draws.sum() / 40 / 460 - 1) < 0.05
+    got = {x.resample: (x.s, x.t) for x in metrics.bootstrap_precision(df.repartition(3), "y", ["s", "t"], "w", 40, 5).collect()}
+    for k in (0, 7, 39):
+        for col in (0, 1):
+            mass = {}
+            for key, n in zip(keys, draws[:, k], strict=True):
+                hit, every = mass.get(key[col], (0, 0))
+                mass[key[col]] = (hit + n * key[3] * key[2], every + n * key[3])
+            total, seen, tp, want = sum(h for h, _ in mass.values()), 0, 0, 0
+            for score in sorted(mass, reverse=True):
+                tp, seen = tp + mass[score][0], seen + mass[score][1]
+                want += mass[score][0] / total * (tp / seen if seen else 0)
+            assert abs(got[k][col] - want) < 1e-9
+    whole = metrics.bootstrap_total(df, "y", ["s", "t"], "w", F.col("v"), 300, 5).toPandas()
+    true = sum(w * v for *_, w, v in rows)
+    spread = sum((w * v) ** 2 for *_, w, v in rows) ** 0.5
+    assert abs(whole.total.mean() / true - 1) < 0.02 and abs(whole.total.std() / spread - 1) < 0.15
+    assert metrics.bootstrap_precision(df.where("false"), "y", ["s", "t"], "w", 5).count() == 0
+
+
+def test_gate(spark):
+    r = random.Random(13)
+    rows = []
+    for _ in range(1500):
+        y = r.random() < 0.1
+        good, noise = (0.9 if y else 0.1) + r.uniform(-0.3, 0.09), r.random()
+        rows.append((y, r.randrange(100, 9000), noise, good, 1.0))
+    df = spark.createDataFrame(rows, "is_fraud boolean, amount_cents bigint, champion_score double, challenger_score double, weight double")
+    better = metrics.promotion_gate(df, resamples=60).first()
+    assert better.promote and better.reasons == "" and 0 < better.ap_low < better.challenger_ap - better.champion_ap < better.ap_high and better.cost_high < 0
+    worse = metrics.promotion_gate(df.selectExpr("is_fraud", "amount_cents", "challenger_score AS champion_score", "champion_score AS challenger_score", "weight"), least_rows=2000, resamples=60).first()
+    assert not worse.promote and worse.reasons == "too few rows; precision could be lower; decisions could cost more"
+
+
 def test_ks_and_psi(spark):
     r = random.Random(3)
     ref = [round(r.gauss(0, 1), 2) for _ in range(700)] + [-1.0] * 40

@@ -151,7 +151,7 @@ def _shadow_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pr_auc_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.bootstrap_precision(_shadow_rows(spark, d), "is_fraud", ["champion_score", "challenger_score"], "weight", 200)
+    return metrics.bootstrap_precision(_shadow_rows(spark, d), "is_fraud", ["champion_score", "challenger_score"], "weight")
 
 
 def promotion_gate(spark: SparkSession, d: str) -> DataFrame:
