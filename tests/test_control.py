@@ -111,3 +111,14 @@ def test_watch_judges_each_day_once_and_opens_one_request_at_a_time(spark):
     state.append("models", "1", spark.createDataFrame([("m", 1, "old")], "version string, at int, verdict string"))
     state.append("models", "2", spark.createDataFrame([("m", 2, "new")], "version string, at int, verdict string"))
     assert [(r.version, r.verdict) for r in state.latest("models", ["version"], "at").collect()] == [("m", "new")]
+
+
+def test_clock_fault_and_mean_attack(spark):
+    from tidemark.sources import generator
+
+    rows = spark.createDataFrame([(f"e{i}", dt.datetime(2027, 9, 1)) for i in range(400)], "id string, t timestamp")
+    got = generator.shifted_clock(rows, "t", "id", -3_600_000_000, 0.25, 3).groupBy("t").count().collect()
+    assert {r.t: 60 < r["count"] < 140 for r in got} == {dt.datetime(2027, 8, 31, 23): True, dt.datetime(2027, 9, 1): False}
+    assert generator.mean_attack({"a": 1, "b": 3}, {"a": 4, "b": 8}, {"a": 10, "b": 2}, 2.0) == (14.0, 44.0)
+    with pytest.raises(ValueError):
+        generator.mean_attack({"a": 0}, {"a": 1}, {"a": 1})

@@ -151,7 +151,7 @@ def reference_days(hours: DataFrame, cold: DataFrame, since: Column, count: int
     no cold start in reach. hours: (day date, n_hours); cold: (started_at), a handful of rows."""
     start, reach = F.unix_timestamp(F.col("day").cast("timestamp")), 25 * 3600
     t = F.unix_timestamp("started_at")
-    touched = hours.join(F.broadcast(cold), (t > start - reach) & (t < start + 86_400), "left_semi").select("day")
+    touched = hours.join(cold, (t > start - reach) & (t < start + 86_400), "left_semi").select("day")
     good = hours.where((F.col("day") >= since) & (F.col("n_hours") >= least_hours)).join(touched, "day", "left_anti")
     w = W.partitionBy().orderBy("day")  # days are few
     ahead = good.withColumn("__n", F.lead("day", count - 1).over(w))

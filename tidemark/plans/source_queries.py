@@ -132,6 +132,27 @@ def map_report(spark: SparkSession, d: str) -> DataFrame:
     return got.select("n_rows", "refused", "linked_cards", *[F.round(c, 9).alias(c) for c in ("fraud_share", "linked_share", "rounded_share")], F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
 
 
+def src_mapped_logs(spark: SparkSession, d: str) -> DataFrame:
+    """The mapped lines written as three logs and each read back: rows, and what each log alone knows."""
+    path = scratch_path(spark, "logs")
+    good = card_csv.mapped(_cells(spark, d)).where(F.col("reason").isNull())
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in [*records.TRANSACTION.fields, *records.LABEL.fields, *records.TRUTH.fields] if f.name not in good.columns}
+    filled = {"schema_version": F.lit(2), "currency": F.lit("USD"), "entry_mode": F.lit("ecommerce"), "card_country": F.lit("US"), "merchant_country": F.lit("US"), "is_recurring": F.lit(False), "recovered_cents": F.lit(0).cast("long")}
+    records.write_event_logs(good.withColumns(blank | {k: v for k, v in filled.items() if k in blank}), path)
+    sums = {"transactions": (records.read_transactions, F.sum("amount_cents")), "labels": (records.read_labels, F.sum(F.unix_seconds("label_time"))), "ground_truth": (records.read_ground_truth, F.count_if("is_fraud"))}
+    out = None
+    for name, (read, what) in sums.items():
+        part = read(spark, f"{path}/{name}").agg(F.count(F.lit(1)).alias("n"), what.cast("long").alias("total")).select(F.lit(name).alias("log"), "n", "total")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def src_findings(spark: SparkSession, d: str) -> DataFrame:
+    """The stream's merchants, devices, staged events as identities, and labels."""
+    got = tables.findings(_txn(spark, d), "event_id", ["merchant_id", "device_id"], table(spark, d, "staged_decisions"), table(spark, d, "label_spool"))
+    return got.select("n_rows", *[F.round(c, 9).alias(c) for c in got.columns[1:]])
+
+
 REGIMES = (generator.Regime("base", 0), generator.Regime("online", 3, 0.6), generator.Regime("dear", 5, 0.6, 1.5))
 
 
@@ -181,7 +202,7 @@ def stream_dead_letters(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "src_json_log": src_json_log, "src_labels_log": src_labels_log, "src_dead_letters": src_dead_letters, "src_bad_runs": src_bad_runs, "src_replay_late": src_replay_late, "src_replay_span": src_replay_span,
     "src_hour_spool": src_hour_spool, "src_profile": src_profile, "src_time_resolution": src_time_resolution, "src_checksums": src_checksums, "src_feature_store": src_feature_store,
-    "map_cards": map_cards, "map_report": map_report, "gen_traffic": gen_traffic, "gen_features": gen_features, "stream_decide": stream_decide, "stream_dead_letters": stream_dead_letters,
+    "src_mapped_logs": src_mapped_logs, "src_findings": src_findings, "map_cards": map_cards, "map_report": map_report, "gen_traffic": gen_traffic, "gen_features": gen_features, "stream_decide": stream_decide, "stream_dead_letters": stream_dead_letters,
 }
 
 _COLUMNS = [f.name for f in records.TRANSACTION.fields if f.name not in ("event_time", "schema_version")] + ["schema_version"]
@@ -209,6 +230,12 @@ SELECT min(us) AS first_us, max(us) AS last_us, count(*) AS n_distinct, round(su
     "src_checksums": f"SELECT name, CASE name WHEN 'region.parquet' THEN 'changed' WHEN 'nation.parquet' THEN 'new' WHEN 'gone.parquet' THEN 'missing' ELSE 'same' END AS state FROM (SELECT unnest([{', '.join(repr(f'{t}.parquet') for t in _TABLES)}]) AS name)",
     "src_feature_store": f"""WITH {TXN}, f AS ({feature_sql([s for s in fx.FEATURE_SET if s.entity == "session"])})
 SELECT entity_id, us, event_id, session_txn_count, session_amount_sum FROM (SELECT session_id AS entity_id, us, f.*, row_number() OVER (PARTITION BY session_id ORDER BY us DESC, f.event_id DESC) AS rn FROM f JOIN txn ON f.event_id = txn.event_id WHERE session_id IS NOT NULL) WHERE rn = 1""",
+    "src_mapped_logs": f"""WITH {_MAP} SELECT 'transactions' AS log, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS total FROM t WHERE NOT bad
+UNION ALL SELECT 'labels', count(*), CAST(sum(label_us // 1000000) AS BIGINT) FROM t WHERE NOT bad UNION ALL SELECT 'ground_truth', count(*), count(*) FILTER (is_fraud) FROM t WHERE NOT bad""",
+    "src_findings": """WITH i AS (SELECT DISTINCT event_id AS k FROM staged_decisions), l AS (SELECT event_id AS k, max(CAST(is_fraud AS INTEGER)) AS f FROM label_spool WHERE is_fraud IS NOT NULL GROUP BY 1)
+SELECT count(*) AS n_rows, round(avg(CASE WHEN merchant_id IS NULL THEN 0.0 ELSE 1.0 END), 9) AS merchant_id_share, round(avg(CASE WHEN device_id IS NULL THEN 0.0 ELSE 1.0 END), 9) AS device_id_share,
+round(avg(CASE WHEN i.k IS NULL THEN 0.0 ELSE 1.0 END), 9) AS identity_share, round(avg(CASE WHEN f IS NULL THEN 0.0 ELSE 1.0 END), 9) AS labelled_share, round(avg(CAST(f AS DOUBLE)), 9) AS fraud_share
+FROM txn_stream t LEFT JOIN i ON t.event_id = i.k LEFT JOIN l ON t.event_id = l.k""",
     "map_cards": f"WITH {_MAP} SELECT event_id, us, card_id, amount_cents, label_us, is_fraud, linked, rounded FROM t WHERE NOT bad",
     "map_report": f"""WITH {_MAP} SELECT count(*) FILTER (NOT bad) AS n_rows, count(*) FILTER (bad) AS refused, count(DISTINCT card_id) FILTER (NOT bad AND linked) AS linked_cards,
 round(avg(CASE WHEN is_fraud THEN 1.0 ELSE 0.0 END) FILTER (NOT bad), 9) AS fraud_share, round(avg(CASE WHEN linked THEN 1.0 ELSE 0.0 END) FILTER (NOT bad), 9) AS linked_share, round(avg(CASE WHEN rounded THEN 1.0 ELSE 0.0 END) FILTER (NOT bad), 9) AS rounded_share,

@@ -123,3 +123,18 @@ def reversed_blocks(rows: DataFrame, seq: str, block: int) -> DataFrame:
     """The rows renumbered so that each block of the sequence runs backwards."""
     b = F.floor(F.col(seq) / block) * block
     return rows.withColumn(seq, (b + (block - 1) - (F.col(seq) - b)).cast("long"))
+
+
+def shifted_clock(rows: DataFrame, time: str, key: str, offset_us: int, share: float, seed: int) -> DataFrame:
+    """A share of the rows, by hash of key, with their clock off by offset_us."""
+    off = F.timestamp_micros(F.unix_micros(time) + offset_us)
+    return rows.withColumn(time, F.when(uniform("clock", seed, F.col(key)) < share, off).otherwise(F.col(time)))
+
+
+def mean_attack(weights: dict[str, float], sizes: dict[str, float], gaps_s: dict[str, float], intensity: float = 1.0) -> tuple[float, float]:
+    """(events, seconds) that one attack is expected to bring and to last, scenarios drawn by weight."""
+    total = sum(weights.values())
+    if total <= 0:
+        raise ValueError("scenario weights add up to nothing")
+    size = {k: w / total * sizes[k] * intensity for k, w in weights.items()}
+    return sum(size.values()), sum(n * gaps_s[k] for k, n in size.items())

@@ -150,6 +150,14 @@ def write_log(rows: DataFrame, path: str, mode: str = "append", gzip: bool = Tru
     to_wire(rows).write.mode(mode).option("compression", "gzip" if gzip else "none").text(path)
 
 
+def write_event_logs(rows: DataFrame, root: str, mode: str = "append") -> None:
+    """Mapped or generated events as three logs, `transactions`, `labels` and `ground_truth`, so that no reader of
+    transactions can see an outcome. rows: the transaction's and the label's columns, is_fraud and scenario."""
+    truth = [f.name for f in TRUTH.fields]
+    for name, columns in (("transactions", [f.name for f in TRANSACTION.fields]), ("labels", [f.name for f in LABEL.fields]), ("ground_truth", truth)):
+        write_log(rows.select(*columns), f"{root}/{name}", mode)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(value): the log's lines, blank ones left out; compressed or not."""
     return spark.read.text(path).where(F.trim("value") != "")

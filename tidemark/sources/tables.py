@@ -229,6 +229,19 @@ def time_resolution(rows: DataFrame, time: str) -> DataFrame:
     return edges.agg(F.min("a").alias("first_us"), F.max("b").alias("last_us"), F.sum("k").alias("n_distinct"), F.try_divide(F.sum("s"), F.sum("n")).alias("share_sharing"), F.least(F.min("g"), F.min("e")).alias("smallest_gap_us"))
 
 
+def findings(rows: DataFrame, key: str, present: Sequence[str], identities: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row about a dataset: n_rows, the share of rows with each of the columns in `present`, the share whose
+    key has an identity record, and of the labelled rows' keys the share labelled fraud. identities: key; labels:
+    key, is_fraud. Copies on either side count once a row."""
+    known = identities.select(F.col(key).alias("__k")).where("__k IS NOT NULL").distinct().withColumn("__known", F.lit(1))
+    said = labels.where(F.col("is_fraud").isNotNull()).groupBy(F.col(key).alias("__l")).agg(F.max(F.col("is_fraud").cast("int")).alias("__fraud"))
+    both = rows.join(known, F.col(key) == F.col("__k"), "left").join(said, F.col(key) == F.col("__l"), "left")
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.avg(F.col(c).isNotNull().cast("int")).alias(f"{c}_share") for c in present],
+        F.avg(F.coalesce("__known", F.lit(0))).alias("identity_share"), F.avg(F.col("__fraud").isNotNull().cast("int")).alias("labelled_share"), F.avg("__fraud").alias("fraud_share"),
+    )
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(name, size, sha256) of the files under a path, named from there on. A file is read whole by one task."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
