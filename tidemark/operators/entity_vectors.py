@@ -18,8 +18,9 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.session import FileStore
 
@@ -71,31 +72,36 @@ def expand(vectors: DataFrame, entity: str, types: Sequence[str], as_of: Column)
 
 class VectorStore:
     """States by day under `root`: `entries/batch=N` (day, entity, name, n, total, last), `states/batch=N` (day,
-    entity, vector) and CURRENT, with the dictionary and the batches that count, renamed into place last.
+    entity, vector) and CURRENT, with what counts of the dictionary and the batches, renamed into place last.
 
-    The dictionary is an event type's list of names in order of their indices: hundreds, and only their names."""
+    The dictionary lies in `types/part=P` (name, idx); only `types`, which names columns, brings it to the driver."""
 
     def __init__(self, spark: SparkSession, root: str, entity: str, type_col: str, event_time: str, amount: str):
         self.spark, self.store, self.root = spark, FileStore(spark, root), root.rstrip("/")
         self.entity, self.type_col, self.event_time, self.amount = entity, type_col, event_time, amount
 
     def _state(self) -> dict:
-        return json.loads(self.store.read("CURRENT") or '{"types": [], "batches": [], "kind": "string"}')
+        return json.loads(self.store.read("CURRENT") or '{"n_types": 0, "parts": 0, "batches": [], "kind": "string"}')
+
+    def dictionary(self) -> DataFrame:
+        """(name, idx) of all types so far."""
+        parts = self._state()["parts"]
+        if not parts:
+            return self.spark.createDataFrame([], "name STRING, idx INT")
+        return self.spark.read.schema("name STRING, idx INT").parquet(*[f"{self.root}/types/part={p}" for p in range(parts)])
 
     @property
     def types(self) -> list[str]:
         """Names in order of their indices."""
-        return self._state()["types"]
-
-    def dictionary(self) -> DataFrame:
-        return self.spark.createDataFrame([(t, i) for i, t in enumerate(self.types)], "name STRING, idx INT")
+        return [r.name for r in self.dictionary().orderBy("idx").collect()]
 
-    def learn(self, names: Sequence[str]) -> None:
-        """Appends the names that are new, in byte order; no index ever changes."""
-        state = self._state()
-        had = set(state["types"])
-        state["types"] += sorted(set(names) - had, key=lambda s: s.encode())
-        self.store.publish("CURRENT", json.dumps(state))
+    def learn(self, names: DataFrame) -> None:
+        """Appends those of the names (name) that are new, in byte order; no index ever changes."""
+        state, size = self._state(), Observation()
+        fresh = names.select("name").distinct().join(self.dictionary(), "name", "left_anti")
+        rows = fresh.select("name", (F.row_number().over(W.orderBy("name")) + (state["n_types"] - 1)).cast("int").alias("idx"))
+        rows.observe(size, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{self.root}/types/part={state['parts']}")
+        self.store.publish("CURRENT", json.dumps(state | {"n_types": state["n_types"] + size.get["n"], "parts": state["parts"] + 1}))
 
     def add(self, batch_id: int, events: DataFrame) -> None:
         """Takes in the distinct events of one batch, of any days. A batch_id taken in before changes nothing."""
@@ -109,7 +115,7 @@ class VectorStore:
         entries = rows.groupBy("day", "entity", "name").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("__a"), F.lit(0)).alias("total"), F.max("__t").alias("last"))
         entries.write.mode("overwrite").parquet(f"{self.root}/entries/batch={batch_id}")
         entries = self.spark.read.schema(entries.schema).parquet(f"{self.root}/entries/batch={batch_id}")
-        self.learn([r.name for r in entries.select("name").distinct().collect()])
+        self.learn(entries)
         states = entity_vectors(entries, self.dictionary(), ["day", "entity"])
         states.write.mode("overwrite").parquet(f"{self.root}/states/batch={batch_id}")
         state = self._state()

@@ -122,33 +122,33 @@ def p4_rolling(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _vectors(spark: SparkSession, d: str, known: list[str] = ()) -> tuple[DataFrame, list[str]]:
-    """Each card's vector as AS_OF began, merged from the stored states of its days, and the types."""
+def _vectors(spark: SparkSession, d: str, known: list[str] = ()) -> entity_vectors.VectorStore:
+    """The stored states of the cards' days. Its states merged up to AS_OF are each card's vector as that day began."""
     store = entity_vectors.VectorStore(spark, scratch_path(spark, "vectors"), "card_id", "rule", "event_time", "amount_cents")
-    store.learn(known)
+    if known:
+        store.learn(spark.createDataFrame([(k,) for k in known], "name string"))
     store.add(0, staged_events(spark, d, "card_id", "event_time", "amount_cents", "rule"))
-    return store.merged(AS_OF[:10]), store.types
+    return store
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    vectors, types = _vectors(spark, d)
-    names = F.array(*[F.lit(t) for t in types]) if types else F.array().cast("array<string>")
+    store = _vectors(spark, d)
     quiet = F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros("last") > 21 * DAY
     case = (F.col("n") >= 3) & (F.col("total") >= 20_000) & quiet
-    return entity_vectors.vector_entries(vectors, "card_id").where(case).select("card_id", F.get(names, F.col("idx")).alias("rule"))
+    found = entity_vectors.vector_entries(store.merged(AS_OF[:10]), "card_id").where(case)
+    return found.join(store.dictionary(), "idx").select("card_id", F.nullif("name", F.lit(entity_vectors.NULL_TYPE)).alias("rule"))
 
 
 def p5_features(spark: SparkSession, d: str) -> DataFrame:
     """A column triple for every rule of the platform, occurring or not, and for any other in the data."""
-    vectors, types = _vectors(spark, d, RULES)
-    return entity_vectors.expand(vectors, "card_id", types, F.lit(AS_OF).cast("timestamp"))
+    store = _vectors(spark, d, RULES)
+    return entity_vectors.expand(store.merged(AS_OF[:10]), "card_id", store.types, F.lit(AS_OF).cast("timestamp"))
 
 
 def p5_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The vectors as text, for comparison: idx:n:total:last_us, joined by commas."""
-    vectors, _ = _vectors(spark, d)
     item = lambda x: F.concat_ws(":", x["idx"].cast("string"), x["n"].cast("string"), x["total"].cast("string"), F.unix_micros(x["last"]).cast("string"))
-    return vectors.select("card_id", F.array_join(F.transform("vector", item), ",").alias("vector"))
+    return _vectors(spark, d).merged(AS_OF[:10]).select("card_id", F.array_join(F.transform("vector", item), ",").alias("vector"))
 
 
 #: Deliveries that the table is taken in by, ranges of batches.
