@@ -216,3 +216,17 @@ SELECT day, round(coalesce(max(total), 0), 3) AS total, {", ".join(_hq(n, q) for
     "ops_daily": f"""WITH {_M1}, p AS (SELECT strftime(make_timestamp(mt), '%Y-%m-%d') AS day, mt, sum(decisions) AS dd, sum({_OVER.format("0.05")}) AS ov, sum(CASE WHEN e IS NULL THEN 0 ELSE coalesce(list_max([x.value FOR x IN e IF x.key = 'inf'::DOUBLE]), 0) END) AS n FROM m GROUP BY ALL)
 SELECT day, count(*) AS minutes, round(sum(dd), 3) AS decisions, round(max(dd) / 60, 6) AS peak_per_second, round(count(*) FILTER (dd > 0) / count(*), 9) AS uptime, count(*) FILTER (dd <= 0) AS idle_minutes, round(sum(ov) / nullif(sum(n), 0), 9) AS over_budget_share FROM p GROUP BY day""",
 }
+
+SQL["drift_requests"] = f"""WITH {_JUDGE}, {_TRIG},
+dd AS (SELECT DISTINCT tr.day AS r, v.day AS d FROM tr JOIN v ON list_contains(qs, v.quantity) AND v.status = 'drifted' AND v.day <= tr.day - 1),
+bk AS (SELECT r, d, row_number() OVER (PARTITION BY r ORDER BY d DESC) AS k FROM dd), bg AS (SELECT r, min(d) AS began FROM bk WHERE (r - 1) - d = k - 1 GROUP BY r),
+cl AS (SELECT tr.day AS r, v.day AS d, count(*) FILTER (v.status NOT IN ('drifted', 'insufficient')) = len(any_value(qs)) AS clean FROM tr JOIN v ON list_contains(qs, v.quantity) AND v.day > tr.day GROUP BY tr.day, v.day),
+pr AS (SELECT r, d, clean AND lag(clean) OVER w AND d - lag(d) OVER w = 1 AS ok FROM cl WINDOW w AS (PARTITION BY r ORDER BY d)), en AS (SELECT r, min(d) AS ended FROM pr WHERE ok GROUP BY r)
+SELECT strftime(tr.day, '%Y-%m-%d') AS request, strftime(coalesce(began, tr.day - 1), '%Y-%m-%d') AS began, strftime(ended, '%Y-%m-%d') AS ended_on FROM tr LEFT JOIN bg ON bg.r = tr.day LEFT JOIN en ON en.r = tr.day"""
+_WINDOWS = SQL["ops_recoveries"].removeprefix("WITH ").rsplit("\nSELECT", 1)[0]
+_SCOPES = f"""{_WINDOWS}, rw AS (SELECT DISTINCT instance_id, su, eu FROM w),
+al AS (SELECT 'every' AS day, * FROM m UNION ALL SELECT 'serving', * FROM m WHERE NOT EXISTS (SELECT 1 FROM rw WHERE rw.instance_id = m.instance_id AND m.mt >= su AND (eu IS NULL OR m.mt < eu)))"""
+_SCOPED = _HIST.replace(_M1, _SCOPES).replace("strftime(make_timestamp(mt), '%Y-%m-%d') AS day", "day").replace("FROM m WHERE e IS NOT NULL", "FROM al WHERE e IS NOT NULL").replace("PARTITION BY instance_id, mt", "PARTITION BY day, instance_id, mt")
+SQL["ops_availability"] = f"""WITH {_SCOPED}, b AS (SELECT *, coalesce(lag(le) OVER (PARTITION BY day ORDER BY le), 0) AS lo, coalesce(lag(c) OVER (PARTITION BY day ORDER BY le), 0) AS c0, max(c) FILTER (le = 'inf'::DOUBLE) OVER (PARTITION BY day) AS total FROM h),
+lq AS (SELECT day, round(coalesce(max(total), 0), 3) AS total, {", ".join(_hq(n, q) for n, q in QS.items())} FROM b GROUP BY day), up AS (SELECT day, count(*) AS minutes, round(count(*) FILTER (decisions > 0) / count(*), 9) AS uptime FROM al GROUP BY day)
+SELECT day AS scope, minutes, uptime, total, {", ".join(QS)} FROM up LEFT JOIN lq USING (day)"""
