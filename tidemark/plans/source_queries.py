@@ -175,14 +175,15 @@ def gen_features(spark: SparkSession, d: str) -> DataFrame:
 STREAM_PARTS = 3
 
 
-def _streamed(spark: SparkSession, d: str) -> scorer.StreamScorer:
-    """The transaction stream as a log of several files in order of event time, scored as a stream."""
+def _streamed(spark: SparkSession, d: str, disorder_us: int = 1) -> scorer.StreamScorer:
+    """The transaction stream as a log of several files in order of event time, of equal times (times that lie in
+    the same disorder_us micros) in order of id, scored as a stream."""
     path = scratch_path(spark, "stream")
     rows = _txn(spark, d).withColumn("__us", F.unix_micros("event_time"))
     low, high = rows.agg(F.min("__us"), F.max("__us")).first()
     edges = [low + (high - low) * k // STREAM_PARTS for k in range(STREAM_PARTS)] + [high + 1]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        part = rows.where((F.col("__us") >= a) & (F.col("__us") < b)).orderBy("__us", "event_id").drop("__us")
+        part = rows.where((F.col("__us") >= a) & (F.col("__us") < b)).orderBy(F.floor(F.col("__us") / disorder_us), "event_id").drop("__us")
         records.to_wire(part).coalesce(1).write.mode("append").text(path)
     out = scorer.StreamScorer(spark, scratch_path(spark, "scored"))
     out.run(scorer.text_stream(spark, path), scratch_path(spark, "checkpoint"))
@@ -199,10 +200,18 @@ def stream_dead_letters(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, d).read("dead").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+DISORDER = 600_000_000
+
+
+def stream_refused(spark: SparkSession, d: str) -> DataFrame:
+    """What the stream refuses, and why, if the log is out of order inside every ten minutes."""
+    return _streamed(spark, d, DISORDER).read("dead").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     "src_json_log": src_json_log, "src_labels_log": src_labels_log, "src_dead_letters": src_dead_letters, "src_bad_runs": src_bad_runs, "src_replay_late": src_replay_late, "src_replay_span": src_replay_span,
     "src_hour_spool": src_hour_spool, "src_profile": src_profile, "src_time_resolution": src_time_resolution, "src_checksums": src_checksums, "src_feature_store": src_feature_store,
-    "src_mapped_logs": src_mapped_logs, "src_findings": src_findings, "map_cards": map_cards, "map_report": map_report, "gen_traffic": gen_traffic, "gen_features": gen_features, "stream_decide": stream_decide, "stream_dead_letters": stream_dead_letters,
+    "src_mapped_logs": src_mapped_logs, "src_findings": src_findings, "map_cards": map_cards, "map_report": map_report, "gen_traffic": gen_traffic, "gen_features": gen_features, "stream_decide": stream_decide, "stream_dead_letters": stream_dead_letters, "stream_refused": stream_refused,
 }
 
 _COLUMNS = [f.name for f in records.TRANSACTION.fields if f.name not in ("event_time", "schema_version")] + ["schema_version"]
@@ -248,3 +257,8 @@ SELECT event_id, card_txn_count_1h, card_txn_count_24h, card_amount_mean_24h, de
 CASE WHEN cs >= 0.9 THEN 'decline' WHEN cs >= 0.5 OR amount_cents >= 500000 THEN 'review' ELSE 'approve' END AS action,
 CASE WHEN cs >= 0.9 THEN 'score-decline' WHEN cs >= 0.5 THEN 'score-review' WHEN amount_cents >= 500000 THEN 'large-amount-review' ELSE 'default-approve' END AS rule FROM s"""
 SQL["stream_dead_letters"] = "SELECT 'unknown_schema_version' AS reason, count(*) AS n FROM txn_stream WHERE schema_version <> 2 HAVING count(*) > 0"
+SQL["stream_refused"] = f"""WITH e AS (SELECT min(epoch_us(event_time)) AS lo, max(epoch_us(event_time)) AS hi FROM txn_stream),
+r AS (SELECT event_id, epoch_us(event_time) AS us, CASE WHEN epoch_us(event_time) >= lo + (hi - lo) * 2 // {STREAM_PARTS} THEN 2 WHEN epoch_us(event_time) >= lo + (hi - lo) // {STREAM_PARTS} THEN 1 ELSE 0 END AS part FROM txn_stream, e WHERE schema_version = 2),
+f AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY part, us // {DISORDER}, us) AS rn FROM r),
+l AS (SELECT us < max(us) OVER (ORDER BY part, us // {DISORDER}, event_id, us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM f WHERE rn = 1)
+SELECT 'late' AS reason, count(*) AS n FROM l WHERE late HAVING count(*) > 0 UNION ALL SELECT 'unknown_schema_version', count(*) FROM txn_stream WHERE schema_version <> 2 HAVING count(*) > 0"""
