@@ -5,18 +5,19 @@ edge floored to the resolution if there is one. An event never sees itself nor a
 an empty window gives -1; a null counts as one value of a distinct count.
 
 Plan. An event at s is visible to moments in (s, expiry(s)], so it is two changes of a running total:
-plus at s, minus at its expiry. Counts, sums and means of all windows of all entities are then one
-running sum over changes, linear in the events however dense a window is. A distinct count is the same
-with one interval per value: occurrences are merged to a first and a last per bucket no longer than the
-window, then neighbouring intervals are joined. The running sum is a prefix sum in two levels, inside
-blocks of time and over block totals, so an entity with a third of all events is spread over its
-blocks. Greatest and smallest values use in-bucket running values and bucket totals; without a
-resolution, a window is the end of one window-long block and the start of the next.
-All results meet in one aggregation by event.
+plus at s, minus at its expiry. Counts, sums and means of all windows of all entities are then running
+sums over changes, linear in the events however dense a window is. A distinct count is the same with
+one interval per value: an event adds the value if the one before it has expired, and takes it away if
+the next one comes later. Greatest values of a window with a resolution are in-bucket running values
+and those of the buckets before. An entity's events are exchanged once, by blocks of time; an event also
+goes to the next block if it can be seen there, so nothing else has to move, and an entity with a third
+of all events is spread over its blocks. The values of several entities meet in one aggregation by event.
+Windows without an end have a running sum in two levels, inside blocks and over block totals; an extreme's
+window without a resolution is the end of one window-long block and the start of the next.
 
 Defined cases: an event without an entity's id has -1 for its features; a null field adds nothing to
 sums, means and extremes (an empty rest gives -1); rows without event id or time are left out; events
-are expected once (see `first_wins`): copies of an id would share one row.
+are expected once (see `first_wins`): copies of an id may share one row.
 """
 
 from __future__ import annotations
@@ -112,12 +113,32 @@ FEATURE_NAMES = tuple(s.name for s in FEATURE_SET)
 def compute(txn: DataFrame, specs: Sequence[FeatureSpec] = FEATURE_SET, keep: Sequence[str] = ()) -> DataFrame:
     """(event_id, us, keep, a double for each specification). txn: event_id, us (micros), ids and fields.
 
-    The columns needed are written to the shared folder once: they are read some ten times, and what made
+    The columns needed are written to the shared folder once: they are read for each entity, and what made
     them (deduplication, say) would otherwise run as often."""
     validate(specs)
     needed = dict.fromkeys(["event_id", "us", *[f"{s.entity}_id" for s in specs], *[s.field for s in specs if s.field], *keep])
-    txn = written(txn.select(*needed), "events")
-    return assemble(txn, _results(txn, specs), specs, keep)
+    return compute_again(written(txn.select(*needed), "events"), specs, keep)
+
+
+def compute_again(txn: DataFrame, specs: Sequence[FeatureSpec], keep: Sequence[str] = ()) -> DataFrame:
+    """compute over events that are cheap to read again and again: nothing is written."""
+    validate(specs)
+    own = {k: [s for s in specs if s.entity == k and _local(s)] for k in dict.fromkeys(s.entity for s in specs)}
+    rest = [s for s in specs if not _local(s)]
+    if not rest and len(own) == 1:
+        # All of an event's values are made in one place.
+        (entity,) = own
+        nameless = txn.where(_usable() & F.col(f"{entity}_id").isNull()).select("event_id", "us", *keep, *[F.lit(EMPTY).alias(s.name) for s in specs])
+        return _of_entity(txn, entity, specs, keep).unionByName(nameless)
+    parts = [_of_entity(txn, k, of, ()) for k, of in own.items() if of]
+    if rest:
+        parts.append(assemble(txn, _results(txn, rest), rest, ()))
+        if len(rest) == len(specs) and not keep:
+            return parts[0]
+    both = txn.where(_usable()).select("event_id", "us", *keep)
+    for p in parts:
+        both = both.unionByName(p.drop("us"), allowMissingColumns=True)
+    return both.groupBy("event_id").agg(F.max("us").alias("us"), *[F.max(c).alias(c) for c in keep], *[F.coalesce(F.max(s.name), F.lit(EMPTY)).alias(s.name) for s in specs])
 
 
 def narrow(txn: DataFrame, specs: Sequence[FeatureSpec]) -> DataFrame:
@@ -131,6 +152,89 @@ def narrow(txn: DataFrame, specs: Sequence[FeatureSpec]) -> DataFrame:
     return wide.select("event_id", "us", F.inline(F.array(*rows))).where(F.col("entity_id").isNotNull())
 
 
+def _local(s: FeatureSpec) -> bool:
+    """Whether the feature is made inside a block of time and what its events see of the block before."""
+    return s.window is not None and (s.aggregation not in ("max", "min") or s.resolution is not None)
+
+
+def _of_entity(txn: DataFrame, entity: str, specs: Sequence[FeatureSpec], keep: Sequence[str]) -> DataFrame:
+    """(event_id, us, keep, features) of the events that have the entity's id, from one exchange of them. All windows
+    below stay inside an entity's block, as it lies after that exchange."""
+    reach = max(s.window + (s.resolution or 0) for s in specs)
+    length = max(DAY, 5 * reach)
+    us, block, zero = F.col("us"), floor_to(F.col("us"), length), F.lit(0).cast("long")
+    fields = {s.field: f"f{i}" for i, s in enumerate(specs) if s.field}
+    kept = {c: "id" if c == f"{entity}_id" else f"k{i}" for i, c in enumerate(keep)}
+    # An event also goes to the next block if an event there can see it.
+    blocks = F.array_compact(F.array(block, F.when(us + reach >= block + length, block + length)))
+    rows = txn.where(_usable()).select(
+        F.col(f"{entity}_id").alias("id"), "us", "event_id", *[F.col(c).alias(n) for c, n in fields.items()], *[F.col(c).alias(n) for c, n in kept.items() if n != "id"], F.explode(blocks).alias("block")
+    ).where(F.col("id").isNotNull()).repartition("id", "block")
+    # The hash leads, so that sorting seldom compares names.
+    rows = rows.withColumn("h", F.xxhash64("id", "block"))
+    keys = ["h", "id", "block"]
+
+    plus, minus = {}, {}  # by lane: what an event adds where it comes into view and takes away where it leaves
+    extremes = {}
+    for i, s in enumerate(specs):
+        field = F.col(fields[s.field]) if s.field else None
+        if s.aggregation in ("max", "min"):
+            best = F.max if s.aggregation == "max" else F.min
+            bucket, v = f"b_{s.resolution}", field.cast("double")
+            rows = rows.withColumn(bucket, floor_to(us, s.resolution))
+            # Rows in order of time inside their bucket are in order of buckets: one sort serves both. The second
+            # frame moves by whole buckets, so it is added up once for each.
+            rows = rows.withColumn(f"i{i}", best(v).over(W.partitionBy(*keys, bucket).orderBy("us").rangeBetween(W.unboundedPreceding, -1)))
+            before = best(v).over(W.partitionBy(*keys).orderBy(bucket).rangeBetween(-s.window, -1))
+            rows = rows.withColumn(f"e{i}", before).withColumn(f"e{i}", (F.greatest if s.aggregation == "max" else F.least)(f"e{i}", f"i{i}")).drop(f"i{i}")
+            extremes[f"e{i}"] = F.col(f"e{i}")
+            continue
+        adds, takes = plus.setdefault(s.lane, {}), minus.setdefault(s.lane, {})
+        if s.aggregation == "count":
+            adds[f"c_{s.lane}"] = takes[f"c_{s.lane}"] = F.lit(1).cast("long")
+        elif s.aggregation in ("sum", "mean"):
+            v = field.cast("long")
+            for n, x in ((f"s_{s.lane}_{fields[s.field]}", F.coalesce(v, zero)), (f"n_{s.lane}_{fields[s.field]}", v.isNotNull().cast("long"))):
+                adds[n] = takes[n] = x
+        elif s.aggregation == "distinct_count":
+            f = fields[s.field]
+            if f"prev_{f}" not in rows.columns:
+                same = W.partitionBy(*keys, F.coalesce(F.col(f).cast("string"), F.lit(NULL_VALUE))).orderBy("us")
+                rows = rows.withColumns({f"prev_{f}": F.lag("us").over(same), f"next_{f}": F.lead("us").over(same)})
+            prev, following = F.col(f"prev_{f}"), F.col(f"next_{f}")
+            adds[f"d_{s.lane}_{f}"] = (prev.isNull() | (s.expiry(prev) < us)).cast("long")
+            takes[f"d_{s.lane}_{f}"] = (following.isNull() | (following > s.expiry(us))).cast("long")
+    sums = [n for of in plus.values() for n in of]
+
+    def change(key: Column, asked: bool, of: dict[str, Column], sign: int) -> Column:
+        carried = ["event_id", *[n for n in kept.values() if n != "id"]]
+        return F.struct(
+            key.alias("key"), F.lit(asked).alias("asked"), *[(F.col(c) if asked else F.lit(None).cast(dict(rows.dtypes)[c])).alias(c) for c in carried],
+            *[(c if asked else F.lit(None).cast("double")).alias(n) for n, c in extremes.items()], *[(of[n] * sign if n in of else zero).alias(n) for n in sums],
+        )
+
+    changes = [change(us, True, {n: c for of in plus.values() for n, c in of.items()}, 1)]
+    lanes = {s.lane: s for s in specs}
+    changes += [change(lanes[lane].expiry(us), False, of, -1) for lane, of in minus.items() if of]
+    # What leaves after the block's end is seen by none of its events.
+    deltas = rows.select(*keys, F.inline(F.array(*changes))).where(F.col("key") < F.col("block") + length)
+    asked = F.col("asked")
+    inside = W.partitionBy(*keys).orderBy("key").rangeBetween(W.unboundedPreceding, -1)
+    seen = {"seen": F.max(F.when(asked, F.col("key"))).over(inside)} if any(s.aggregation == "seconds_since_last" for s in specs) else {}
+    running = deltas.withColumns({f"r_{n}": F.coalesce(F.sum(n).over(inside), zero) for n in sums} | seen).where(asked & (F.col("block") == floor_to(F.col("key"), length)))
+    out = []
+    for i, s in enumerate(specs):
+        c, d = F.col(f"r_c_{s.lane}"), F.col(f"r_d_{s.lane}_{fields.get(s.field)}")
+        t, n = (F.col(f"r_{x}_{s.lane}_{fields.get(s.field)}") for x in "sn")
+        value = {
+            "count": lambda c=c: F.when(c > 0, c.cast("double")), "sum": lambda t=t, n=n: F.when(n > 0, t.cast("double")), "mean": lambda t=t, n=n: F.when(n > 0, t.cast("double") / n),
+            "distinct_count": lambda d=d: F.when(d > 0, d.cast("double")), "max": lambda i=i: F.col(f"e{i}"), "min": lambda i=i: F.col(f"e{i}"),
+            "seconds_since_last": lambda s=s: F.when(F.col("seen") >= s.start(F.col("key")), (F.col("key") - F.col("seen")) / 1e6),
+        }[s.aggregation]()
+        out.append(F.coalesce(value, F.lit(EMPTY)).alias(s.name))
+    return running.select("event_id", F.col("key").alias("us"), *[F.col(n).alias(c) for c, n in kept.items()], *out)
+
+
 def assemble(txn: DataFrame, results: DataFrame, specs: Sequence[FeatureSpec], keep: Sequence[str]) -> DataFrame:
     """One row per event from its own row and its results' rows, one per window group."""
     base = txn.where(_usable()).select("event_id", "us", *keep)
@@ -262,13 +366,11 @@ def _extreme(txn: DataFrame, s: FeatureSpec, number: int) -> DataFrame:
     best = F.max if s.aggregation == "max" else F.min
     rows = txn.select("event_id", "us", F.col(f"{s.entity}_id").alias("id"), F.col(s.field).cast("double").alias("v")).where(F.col("id").isNotNull())
     blank = [(F.lit(number) if c == "g" else F.lit(None)).cast(k).alias(c) for c, k in _RESULT if c != "v"]
-    if s.window is None or s.resolution is not None:
-        # In-bucket running value, and the totals of the buckets before.
-        step = s.resolution or BLOCK
-        reach = W.unboundedPreceding if s.window is None else -(s.window // s.resolution)
-        rows = rows.withColumn("b", F.floor(F.col("us") / step))
+    if s.window is None:
+        # In-block running value, and the totals of the blocks before.
+        rows = rows.withColumn("b", F.floor(F.col("us") / BLOCK))
         prior = rows.groupBy("id", "b").agg(best("v").alias("t"))
-        prior = prior.withColumn("t", best("t").over(W.partitionBy("id").orderBy("b").rangeBetween(reach, -1)))
+        prior = prior.withColumn("t", best("t").over(W.partitionBy("id").orderBy("b").rowsBetween(W.unboundedPreceding, -1)))
         inside = W.partitionBy("id", "b").orderBy("us").rangeBetween(W.unboundedPreceding, -1)
         found = rows.withColumn("i", best("v").over(inside)).join(prior, ["id", "b"])
         return found.select("event_id", *blank, (F.greatest("i", "t") if s.aggregation == "max" else F.least("i", "t")).alias("v"))
